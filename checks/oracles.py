@@ -317,8 +317,9 @@ norms as (select id, sum(v * v) as s from vec group by id),
 qnorms as (select qid, sum(v * v) as s from qvec group by qid),
 dots as (select qid, id, sum(d.v * q.v) as dot from vec d join qvec q using (j) where id in (select id from live) group by qid, id),
 dense as (
-  select qid, id, round(case when a.s * b.s > 0 then coalesce(dot, 0) / sqrt(a.s * b.s) else 0 end, 6) as score
-  from qnorms b, norms a left join dots using (qid, id) where id in (select id from live)),
+  select b.qid, a.id, round(case when a.s * b.s > 0 then coalesce(dot, 0) / sqrt(a.s * b.s) else 0 end, 6) as score
+  from qnorms b join norms a on a.id in (select id from live)
+  left join dots d on d.qid = b.qid and d.id = a.id),
 sparse_rank as (select *, row_number() over (partition by qid order by score desc, id) as rank from sparse),
 dense_rank_ as (select *, row_number() over (partition by qid order by score desc, id) as rank from dense)"""
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.config import DEFAULTS
 from quire.functions.expr import bind
@@ -149,7 +150,7 @@ def fold(c: Column) -> Column:
     return F.translate(c, FOLD_FROM, FOLD_TO)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.str.normalize("NFKC")
