@@ -38,6 +38,18 @@ def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return db
 
 
+# Spark and database names of the types results may have
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN",
+}
+
+
+def type_difference(df, db, sql: str) -> str:
+    theirs = {r[0]: r[1] for r in db.execute(f"describe {sql}").fetchall()}
+    odd = {n: (t, theirs[n]) for n, t in df.dtypes if TYPES.get(t, t) != theirs[n]}
+    return f"types {odd}" if odd else ""
+
+
 def check(spark, db, sf_dir: str, name: str) -> tuple[bool, str]:
     start = time.time()
     df = QUERIES[name](spark, sf_dir)
@@ -50,6 +62,9 @@ def check(spark, db, sf_dir: str, name: str) -> tuple[bool, str]:
     note = f"{len(mine)} rows, {took:.1f}s, sql {time.time() - start:.1f}s"
     if sorted(columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}"
+    odd = type_difference(df, db, ORACLES[name])
+    if odd:
+        return False, odd
     if mine != theirs:
         a, b = set(map(repr, mine)), set(map(repr, theirs))
         return False, f"{note}; sql {len(theirs)} rows; only here {sorted(a - b)[:2]}; only sql {sorted(b - a)[:2]}"

@@ -187,11 +187,11 @@ ORACLES["back_matter"] = text("matter", "select d.slot, start from docs d left j
 ORACLES["auto_resolve"] = text("matter", "select slot, lo, hi, end_page as body_end_page from matter")
 
 ORACLES["pages_in_span"] = f"""with {PDF}
-select s.pdf || '_' || nth as key, p.page, p.page + length(title) as printed, md5(text) as text_md5
+select s.pdf || '_' || nth as key, p.page, (p.page + length(title))::int as printed, md5(text) as text_md5
 from spans s join pdf_pages p on p.pdf = s.pdf and p.page between s.lo and s.hi"""
 
 ORACLES["ocr_needed"] = text("pages", """
-select slot as key, count(*) as pages, sum(chars) as chars, sum(chars) / count(*) < 120 as needs_ocr from (
+select slot as key, count(*) as pages, sum(chars)::bigint as chars, sum(chars) / count(*) < 120 as needs_ocr from (
   select slot, page, length(trim(coalesce(string_agg(line, chr(10) order by n) filter (num is null), ''), ' ' || chr(10))) as chars
   from paged group by slot, page) group by slot""")
 
@@ -207,7 +207,7 @@ ORACLES["content_hash"] = "select doc_id, md5(text) as hash from documents"
 # ---- cleaning ---------------------------------------------------------------
 
 ORACLES["trim_matter"] = text("trimmed", f"""
-select d.slot, d.dropped, coalesce(t.text, '') as text from dropped d left join ({whole('trimmed')}) t using (slot)""")
+select d.slot, d.dropped::int as dropped, coalesce(t.text, '') as text from dropped d left join ({whole('trimmed')}) t using (slot)""")
 ORACLES["normalize_text"] = text("lines0", """
 select slot, replace(replace(string_agg(line, chr(10) order by n), chr(64257), 'fi'), chr(8217), '''') as text
 from lines0 group by slot""")

@@ -108,7 +108,7 @@ def short_key(spark, d):
 def unique_key(spark, d):
     """Keys of all documents: many share a first word, none may share a key."""
     docs = B.table(spark, d, "documents").select(
-        F.lpad(c("doc_id").cast("string"), 12, "0").alias("path"), T.slug(F.element_at(F.split("text", "[ \n]+"), 1)).alias("base")
+        F.lpad(c("doc_id").cast("string"), 12, "0").alias("path"), T.slug(F.get(F.split("text", "[ \n]+", 2), F.lit(0))).alias("base")
     )
     taken = docs.select(F.col("base").alias("key")).distinct()
     return G.unique_keys(docs, taken).select("path", "key")

@@ -153,9 +153,11 @@ judged as (
   from pagefacts)"""
 
 STAGES["matter"] = """
+opened as (select distinct slot, 1 as o from paged where page is null and trim(line) <> ''),
 head as (
   select *, max(page) filter (contents_like) over (partition by slot order by page) as last_hit
-  from judged where ordinal < greatest(4, floor((total + 1) * 0.15::double))),
+  from judged left join opened using (slot)
+  where ordinal + coalesce(o, 0) <= greatest(4, floor((total + coalesce(o, 0)) * 0.15::double))),
 grown as (
   select slot, min(page) filter (contents_like) as lo,
     min(page) filter (not contents_like and last_hit is not null and page - last_hit > 2) as stop

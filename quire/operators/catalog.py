@@ -53,22 +53,25 @@ def context(
     """Neighbours of each anchor chunk within its book and section.
 
     The at most seven ids around an anchor are spelled out, which makes this an
-    equi-join on id instead of a range join. Sections compare null-safe: the
-    opening of a document has none.
+    equi-join on id instead of a range join, and one pass over the points: the
+    anchor itself is among the rows found for it. Sections compare null-safe:
+    the opening of a document has none. Unknown anchors find nothing.
     """
     reach = settings.context_reach
     before, after = (max(0, min(int(n), reach)) for n in (before, after))
-    at = points.join(anchors.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi").select(
-        F.col("id").alias("chunk_id"), F.col("book").alias("_book"), F.col("section").alias("_section")
-    )
-    wanted = at.withColumn(
+    wanted = anchors.select("chunk_id").distinct().withColumn(
         "id", F.explode(F.sequence(F.col("chunk_id") - before, F.col("chunk_id") + after))
     )
+    requested = F.col("id") == F.col("chunk_id")
+    home = F.max(F.when(requested, F.struct("book", "section"))).over(Window.partitionBy("chunk_id"))
     return (
         points.join(wanted, "id")
-        .filter((F.col("book") == F.col("_book")) & F.col("section").eqNullSafe(F.col("_section")))
-        .drop("_book", "_section")
-        .withColumn("requested", F.col("id") == F.col("chunk_id"))
+        .withColumn("_home", home)
+        .filter(
+            (F.col("book") == F.col("_home.book")) & F.col("section").eqNullSafe(F.col("_home.section"))
+        )
+        .drop("_home")
+        .withColumn("requested", requested)
     )
 
 

@@ -185,7 +185,7 @@ def registry(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return documents(spark, sf_dir).select(
         c("doc_id").alias("slot"),
         F.concat(F.lit("doc_"), c("doc_id").cast("string")).alias("key"),
-        F.array_join(F.slice(F.split(c("text"), "[ \n]+"), 1, 3), " ").alias("title"),
+        F.array_join(F.slice(F.split(c("text"), "[ \n]+", 4), 1, 3), " ").alias("title"),
         F.when(c("lang") == "fr", "article").when(c("lang") == "de", "issue").otherwise("book").alias("kind"),
         "source",
         *extra,
