@@ -113,6 +113,6 @@ def write_marked_text(texts: DataFrame, path: str) -> None:
 
 def read_marked_text(spark: SparkSession, path: str) -> DataFrame:
     """``key, text`` of marked texts below ``path``."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("key").cast("string"), F.regexp_replace("value", "\x00$", "").alias("text")
     )
