@@ -270,7 +270,7 @@ select count(*) as chunks, min(n_tokens) as min_tokens, list_sort(list(n_tokens)
 
 # ---- maintenance ------------------------------------------------------------
 
-ORACLES["stale_docs"] = "select 'doc_' || doc_id as book, md5(text) as sig from documents where lang in ('es', 'fr')"
+ORACLES["stale_docs"] = "select 'doc_' || doc_id as key, md5(text) as sig from documents where lang in ('es', 'fr')"
 ORACLES["index_signature"] = """
 with r as (
   select source as book, doc_id * 1000 + n - 1 as id,

@@ -479,15 +479,15 @@ def registry_with_chunks(spark, d) -> DataFrame:
 
 def signatures(spark, d) -> DataFrame:
     docs = B.table(spark, d, "documents")
-    return docs.select(F.concat(F.lit("doc_"), c("doc_id").cast("string")).alias("book"), F.md5("text").alias("sig"), "lang")
+    return docs.select(F.concat(F.lit("doc_"), c("doc_id").cast("string")).alias("key"), F.md5("text").alias("sig"), "lang")
 
 
 @query
 def stale_docs(spark, d):
     now = signatures(spark, d)
     manifest = now.filter(c("lang") != "es").select(
-        c("book").alias("key"), F.when(c("lang") == "fr", "old").otherwise(c("sig")).alias("sig"))
-    return M.stale(now, manifest).select("book", "sig")
+        "key", F.when(c("lang") == "fr", "old").otherwise(c("sig")).alias("sig"))
+    return M.stale(now, manifest).select("key", "sig")
 
 
 @query

@@ -104,6 +104,8 @@ def list_documents(manifest: DataFrame, registry: DataFrame) -> DataFrame:
     """``book, title, chunks, kind, source`` of the index; the registry if it is empty."""
 
     def listed(df: DataFrame) -> DataFrame:
+        if "chunks" not in df.columns:
+            df = df.withColumn("chunks", F.lit(0))
         return df.select(
             F.col("key").alias("book"),
             F.coalesce("title", F.lit("")).alias("title"),

@@ -49,12 +49,23 @@ def index_signature(chunks: DataFrame, stride: int = DEFAULTS.id_stride, limit:
     )
 
 
+def document_signatures(registry: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Manifest rows the documents should have; one without chunks signs as empty."""
+    signed = signatures.select(F.col("book").alias("key"), "sig", "chunks")
+    return registry.join(signed, "key", "left").select(
+        "slot", "key", F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce("sig", F.concat(F.lit("empty:"), F.col("slot").cast("string"))).alias("sig"),
+        F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"),
+        F.coalesce("kind", F.lit("book")).alias("kind"), F.coalesce("source", F.lit("")).alias("source"),
+        "input_sig",
+    )
+
+
 def stale(current: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
     """Documents whose signature is not the one the manifest holds."""
     if force:
         return current
-    have = manifest.select(F.col("key").alias("book"), F.col("sig").alias("_have"))
-    return current.join(have, "book", "left").filter(~F.col("sig").eqNullSafe(F.col("_have"))).drop("_have")
+    return current.join(manifest.select("key", "sig"), ["key", "sig"], "left_anti").select(*current.columns)
 
 
 def first_per_group(df: DataFrame, n: int, group: str = "book", order: str = "id") -> DataFrame:
@@ -74,14 +85,6 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(whole, version).alias("_row")).select("_row.*")
 
 
-def manifest_rows(signatures: DataFrame, registry: DataFrame) -> DataFrame:
-    """Manifest entries of indexed documents: ``slot, key, title, sig, chunks, kind, source``."""
-    return signatures.select(F.col("book").alias("key"), "sig", "chunks").join(registry, "key").select(
-        "slot", "key", "title", "sig", "chunks",
-        F.coalesce("kind", F.lit("book")).alias("kind"), F.coalesce("source", F.lit("")).alias("source"),
-    )
-
-
 def replace_documents(points: DataFrame, fresh: DataFrame) -> DataFrame:
     """Points with every book of ``fresh`` exchanged whole, so none leaves orphans."""
     books = fresh.select("book").distinct()

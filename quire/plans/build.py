@@ -11,9 +11,10 @@ from quire.config import DEFAULTS, Settings
 from quire.functions import text as T
 from quire.functions.encoding import Encoder, embed
 from quire.functions.expr import remembered
+from quire.functions.frames import durable, small
 from quire.operators import maintenance as M
 from quire.operators.chunking import chunk_documents
-from quire.operators.cleaning import clean
+from quire.operators.cleaning import clean, clean_signature
 from quire.operators.pages import resolve_matter
 from quire.sources.store import Store
 
@@ -47,40 +48,69 @@ def ingest(
     force: bool = False, recreate: bool = False, limit: int | None = None,
     encoder: Encoder | None = None,
 ) -> DataFrame:
-    """Bring the store in step with ``chunks`` and give the documents loaded.
+    """Bring the store in step with ``registry`` and its ``chunks``; gives the documents loaded.
 
-    Only documents whose signature differs from the manifest are embedded. Their
-    old points leave in the same write that brings the new ones; the manifest
-    follows after, so an interrupted run is repeated, not skipped.
+    Only documents whose chunks differ from what the manifest signs for are
+    embedded. Their old points leave in the same write that brings the new ones,
+    and a document without chunks just loses its points. The manifest follows
+    after, so an interrupted run is repeated, not skipped.
     """
     if recreate:
         store.drop()
-    chunks = M.only(chunks, keys, "book")
+    registry, chunks = M.only(registry, keys), M.only(chunks, keys, "book")
+    if "input_sig" not in registry.columns:
+        registry = registry.withColumn("input_sig", F.lit(None).cast("string"))
     if limit:
         chunks = M.first_per_group(chunks, limit)
-    signed = M.index_signature(chunks, limit=limit)
-    todo = M.stale(signed, store.manifest(), force or recreate)
-    loaded = todo.select("book", "sig", "chunks").cache()
-    if not loaded.isEmpty():
-        fresh = embed(chunks.join(loaded.select("book"), "book", "left_semi"), encoder=encoder)
-        store.replace(loaded.select("book"), fresh)
-        store.write_manifest(M.manifest_rows(loaded, registry))
-    return loaded
+        registry = registry.withColumn("input_sig", F.lit(None).cast("string"))
+    signed = M.document_signatures(registry, M.index_signature(chunks, limit=limit))
+    # narrow: one row per changed document
+    todo = durable(M.stale(signed, store.manifest(), force or recreate))
+    if not todo.isEmpty():
+        books = todo.select(F.col("key").alias("book"))
+        fresh = embed(chunks.join(small(books), "book", "left_semi"), encoder=encoder)
+        store.replace(books, fresh, gone=books.join(todo.filter("chunks = 0").select(F.col("key").alias("book")), "book"))
+        store.write_manifest(todo)
+    return todo
+
+
+def input_signature(settings: Settings = DEFAULTS) -> Column:
+    """Everything a document's chunks depend on."""
+    c = F.col
+    return F.md5(
+        F.concat_ws(
+            "|",
+            clean_signature(T.content_hash(c("text")), c("skip_pages"), c("body_end_page"), settings),
+            F.to_json("auto"), "title", c("slot").cast("string"), "kind", "source", F.lit(repr(settings)),
+        )
+    )
 
 
 def build(
     documents: DataFrame, store: Store, settings: Settings = DEFAULTS,
-    keys: Sequence[str] | None = None, **options,
+    keys: Sequence[str] | None = None, force: bool = False, recreate: bool = False,
+    limit: int | None = None, encoder: Encoder | None = None,
 ) -> DataFrame:
-    """Clean, chunk and ingest registry rows with text; see :func:`ingest`.
+    """Clean, chunk and ingest registry rows with text; gives the documents loaded.
 
-    A document that no longer yields a chunk leaves the index.
+    A first pass over the texts only hashes them. Documents that changed since
+    the manifest was written are cleaned and chunked once, and their chunks are
+    written out before they are signed, embedded and loaded.
     """
     documents = M.only(documents, keys)
-    registry = documents.select("slot", "key", "title", "kind", "source")
-    chunks = passages(documents, settings=settings)
-    indexed = registry.join(store.manifest().select("key"), "key", "left_semi")
-    empty = indexed.join(chunks.select(F.col("book").alias("key")).distinct(), "key", "left_anti").cache()
-    if not empty.isEmpty():
-        store.remove(empty)
-    return ingest(chunks, registry, store, **options)
+    if recreate:
+        store.drop()
+    stamped = documents.select("key", input_signature(settings).alias("input_sig"))
+    if not (force or limit):
+        known = store.manifest().select("key", "input_sig")
+        stamped = stamped.join(known, ["key", "input_sig"], "left_anti")
+    changed = durable(stamped)
+    work = documents.join(small(changed), "key")
+    chunks = durable(passages(work, settings=settings))
+    registry = work.select("slot", "key", "title", "kind", "source", "input_sig")
+    loaded = ingest(chunks, registry, store, force=force, limit=limit, encoder=encoder)
+    same = changed.join(loaded, "key", "left_anti")
+    if not limit and not same.isEmpty():
+        # other input, same chunks: only the stamp changes
+        store.write_manifest(store.manifest().drop("input_sig").join(same, "key"))
+    return loaded

@@ -12,6 +12,6 @@ CHUNKS = (
     "section_title string, page_start int, page_end int, n_tokens int, text string, embed_text string"
 )
 POINTS = CHUNKS.replace(", embed_text string", "") + ", dense array<float>, terms array<bigint>, weights array<float>"
-MANIFEST = "slot bigint, key string, title string, sig string, chunks bigint, kind string, source string"
+MANIFEST = "slot bigint, key string, title string, sig string, chunks bigint, kind string, source string, input_sig string"
 PAGES = "pdf string, page int, text string"
 QUERIES = "qid bigint, text string"

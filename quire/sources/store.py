@@ -48,9 +48,11 @@ class Store:
     def shard_of(self, book: str):
         return F.pmod(F.xxhash64(book), F.lit(self.shards)).cast("int")
 
-    def replace(self, books: DataFrame, fresh: DataFrame) -> None:
+    def replace(self, books: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> None:
         """Exchange every point of ``books`` (column ``book``) for ``fresh`` ones.
 
+        ``gone`` names those of them that have no fresh points.
+
         Only the shards of those books are read and rewritten. The old files go
         when the job commits, so a lost executor or a failed job loses nothing.
         """
@@ -74,6 +76,8 @@ class Store:
             .partitionBy("shard")
             .parquet(f"{self.path}/points")
         )
+        if gone is not None and self.exists("points"):
+            self._drop_emptied(gone)
 
     def _drop_emptied(self, books: DataFrame) -> None:
         """Delete shards that still hold removed books.
@@ -88,7 +92,7 @@ class Store:
 
     def write_manifest(self, rows: DataFrame) -> None:
         """Manifest rows by slot, the last write winning."""
-        self._swap("manifest", M.upsert(self.manifest(), rows, ["slot"]))
+        self._swap("manifest", M.upsert(self.manifest(), rows.select(*self.manifest().columns), ["slot"]))
 
     def _swap(self, name: str, rows: DataFrame) -> None:
         """Write a table beside the old one, then put it in its place."""
@@ -102,8 +106,7 @@ class Store:
         """Delete the points and manifest rows of documents (column ``key``)."""
         books = keys.select(F.col("key").alias("book")).distinct().cache()
         if self.exists("points"):
-            self.replace(books, self.points().limit(0))
-            self._drop_emptied(books)
+            self.replace(books, self.points().limit(0), gone=books)
         if self.exists("manifest"):
             self._swap("manifest", M.remove_documents(self.manifest(), keys, "key"))
 

@@ -28,7 +28,8 @@ def ingest_arrivals(
     )
 
     def load(batch: DataFrame, _: int) -> None:
-        ingest(batch, registry, store, encoder=encoder)
+        arrived = batch.select(batch["book"].alias("key")).distinct()
+        ingest(batch, registry.join(arrived, "key", "left_semi"), store, encoder=encoder)
 
     return (
         arrivals.writeStream.foreachBatch(load)

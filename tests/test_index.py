@@ -44,7 +44,7 @@ def books(store):
 
 def test_builds(spark, store):
     docs = documents(spark, [(0, text(3, 4, "alpha")), (1, text(2, 5, "beta")), (2, text(1, 1, "gamma"))])
-    assert {r["book"] for r in build(docs, store).collect()} == {"d0", "d1", "d2"}
+    assert {r["key"] for r in build(docs, store).collect()} == {"d0", "d1", "d2"}
     first = books(store)
     assert set(first) == {"d0", "d1", "d2"}
 
@@ -58,7 +58,7 @@ def test_builds(spark, store):
 
     # one document shrinks: it alone is loaded and leaves no orphans
     shrunk = documents(spark, [(0, text(1, 2, "alpha")), (1, text(2, 5, "beta")), (2, text(1, 1, "gamma"))])
-    assert [r["book"] for r in build(shrunk, store).collect()] == ["d0"]
+    assert [r["key"] for r in build(shrunk, store).collect()] == ["d0"]
     assert books(store)["d0"] < first["d0"]
     assert books(store)["d1"] == first["d1"]
     chunks = {r["key"]: r["chunks"] for r in store.manifest().collect()}
@@ -67,7 +67,9 @@ def test_builds(spark, store):
     # a document without any passage leaves the index
     emptied = documents(spark, [(1, "nothing"), (2, text(1, 1, "gamma"))])
     build(emptied, store)
-    assert set(books(store)) == {"d0", "d2"} == {r["key"] for r in store.manifest().collect()}
+    assert set(books(store)) == {"d0", "d2"}
+    assert {r["key"] for r in store.manifest().filter("chunks > 0").collect()} == {"d0", "d2"}
+    assert build(emptied, store).count() == 0
 
     # force loads everything given
     assert build(docs, store, force=True).count() == 3
