@@ -101,7 +101,7 @@ def slug(spark, d):
 
 @query
 def short_key(spark, d):
-    return B.table(spark, d, "documents").select("doc_id", T.short_key(c("text")).alias("short_key"))
+    return B.documents(spark, d).select("doc_id", T.short_key(c("text")).alias("short_key"))
 
 
 @query

@@ -24,7 +24,7 @@ SCANNED_HEADER = (
     r"|Section_+\p{Nd}+\.\p{Nd}+\..{0,60}?_+\p{Nd}{1,4})$"
 ).replace("_", T.SPACE)
 JUNK = r"^([^\p{L}\p{N}_]{1,3}|[. ·]+)$"
-SENTENCE_STOP = r"[.:;!?\"')]$"
+SENTENCE_STOPS = (".", ":", ";", "!", "?", '"', "'", ")")
 
 CAPTION_BLOCK = (
     rf"\n({T.GAP}*(?:FIGURE|TABLE|Figure|Table){T.GAP}+\p{{Nd}}+[-.–]?\p{{Nd}}*{T.EDGE}[^\n]*"
@@ -39,9 +39,8 @@ _MARK = rf"(?:{T.GAP}*\[PAGE [0-9]+\]{T.GAP}*\n)"
 _BETWEEN = (
     rf"((?:{_MARK}{_BLANK}{{0,2}}|{_BLANK}{_MARK}{_BLANK}?|{_BLANK}{_BLANK}{_MARK}|{_BLANK}{{0,3}}))"
 )
-SPLIT_WORD = (
-    rf"-(?<=[A-Za-z]{{2}}-){T.GAP}*\n{_BETWEEN}{T.GAP}*([a-z]{{2,}})(?![\p{{L}}\p{{N}}_])([^\n]*)"
-)
+SPLIT_WORD_PARTS = rf"-{T.GAP}*\n{_BETWEEN}{T.GAP}*([a-z]{{2,}})(?![\p{{L}}\p{{N}}_])([^\n]*)"
+SPLIT_WORD = SPLIT_WORD_PARTS.replace("-", r"-(?<=[A-Za-z]{2}-)", 1)
 
 # noncharacters, reserved for use inside a program
 WEAK, STRONG = chr(0xFDD0), chr(0xFDD1)
@@ -193,55 +192,64 @@ def fix_hyphenation(text: Column, lexicon: Column) -> Column:
     cannot overlap, so the tail of a joined line is not joined again.
     """
 
-    def piece(head: Column, between: Column, word: Column, rest: Column, known: Column) -> Column:
-        marker = F.regexp_extract(between, rf"(\[PAGE [0-9]+\])", 1)
-        return F.concat(
-            F.when(F.array_contains(known, candidate(head, word)), "-").otherwise(""),
-            word,
-            T.rstrip(rest),
-            F.when(marker != "", F.concat(F.lit("\n"), marker)).otherwise(""),
-        )
-
     def candidate(head: Column, word: Column) -> Column:
         return F.concat(
             F.lower(F.regexp_extract(head, "([A-Za-z]+)$", 1)), F.lit("-"), F.lower(word)
         )
 
-    def assembled(parts: Column, words: Column, t: Column) -> Column:
-        betweens = F.regexp_extract_all(t, F.lit(SPLIT_WORD), 1)
-        rests = F.regexp_extract_all(t, F.lit(SPLIT_WORD), 3)
-        joins = F.arrays_zip(
-            F.slice(parts, F.lit(1), F.size(words)).alias("head"),
-            betweens.alias("between"),
-            words.alias("word"),
-            rests.alias("rest"),
+    def split_word(match: Column) -> Column:
+        marker = F.regexp_extract(match, r"(\[PAGE [0-9]+\])", 1)
+        return F.struct(
+            F.regexp_extract(match, SPLIT_WORD_PARTS, 2).alias("word"),
+            F.concat(
+                T.rstrip(F.regexp_extract(match, SPLIT_WORD_PARTS, 3)),
+                F.when(marker != "", F.concat(F.lit("\n"), marker)).otherwise(""),
+            ).alias("rest"),
+        )
+
+    def assembled(parts: Column, tails: Column) -> Column:
+        joins = F.zip_with(
+            F.slice(parts, F.lit(1), F.size(tails)),
+            tails,
+            lambda head, t: F.struct(head.alias("head"), t["word"].alias("word"), t["rest"].alias("rest"),
+                                     candidate(head, t["word"]).alias("compound")),
         )
         # only candidates matter: intersect first so that lookups stay short
-        wanted = F.zip_with(F.slice(parts, F.lit(1), F.size(words)), words, candidate)
         return bind(
-            F.array_intersect(F.array_distinct(wanted), lexicon),
-            lambda known: F.concat(
-                F.array_join(
-                    F.transform(
-                        joins,
-                        lambda j: F.concat(
-                            j["head"], piece(j["head"], j["between"], j["word"], j["rest"], known)
+            joins,
+            lambda js: bind(
+                F.array_intersect(F.transform(js, lambda j: j["compound"]), lexicon),
+                lambda known: F.concat(
+                    F.array_join(
+                        F.transform(
+                            js,
+                            lambda j: F.concat(
+                                j["head"],
+                                F.when(F.array_contains(known, j["compound"]), "-").otherwise(""),
+                                j["word"],
+                                j["rest"],
+                            ),
                         ),
+                        "",
                     ),
-                    "",
+                    F.element_at(parts, -1),
                 ),
-                F.element_at(parts, -1),
             ),
         )
 
     def fixed(t: Column) -> Column:
         return bind(
-            F.regexp_extract_all(t, F.lit(SPLIT_WORD), 2),
-            lambda words: F.struct(
-                F.when(F.size(words) == 0, t)
-                .otherwise(bind(F.split(t, SPLIT_WORD), lambda parts: assembled(parts, words, t)))
+            F.regexp_extract_all(t, F.lit(SPLIT_WORD), 0),
+            lambda found: F.struct(
+                F.when(F.size(found) == 0, t)
+                .otherwise(
+                    bind(
+                        F.split(t, SPLIT_WORD),
+                        lambda parts: assembled(parts, F.transform(found, split_word)),
+                    )
+                )
                 .alias("text"),
-                F.size(words).alias("joined"),
+                F.size(found).alias("joined"),
             ),
         )
 
@@ -268,7 +276,7 @@ def reflow(lines: Column) -> Column:
             lambda s: F.struct(
                 s.alias("s"),
                 T.is_prose(s).alias("prose"),
-                s.rlike(SENTENCE_STOP).alias("stop"),
+                F.substring(s, -1, 1).isin(*SENTENCE_STOPS).alias("stop"),
                 F.substring(T.strip(s), 1, 1).alias("first"),
             ),
         )

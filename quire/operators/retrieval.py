@@ -176,11 +176,12 @@ def nearest(
         *((F.col("terms"), F.col("weights")) if sparse
           else (F.lit(None).alias("terms"), F.lit(None).alias("weights"))),
     )
-    blocks = max(1, -(-wanted.count() // settings.query_block))
+    first = wanted.limit(settings.query_block + 1).collect()
+    blocks = 1 if len(first) <= settings.query_block else -(-wanted.count() // settings.query_block)
     shard = F.pmod(F.xxhash64("qid"), F.lit(blocks))
     parts = []
     for b in range(blocks):
-        rows = (wanted if blocks == 1 else wanted.filter(shard == b)).collect()
+        rows = first if blocks == 1 else wanted.filter(shard == b).collect()
         if rows:
             shared = spark.sparkContext.broadcast(QueryBlock(rows))
             score = _score_points(shared, n, digits, dense, sparse)
