@@ -14,13 +14,15 @@ from quire.config import DEFAULTS
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one serves only where that is unset.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
+    local session may go without and use a temporary one.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint()
 
 

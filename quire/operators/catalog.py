@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS, Settings
+from quire.functions.frames import small
 from quire.operators.retrieval import cite_row
 
 SEPARATOR = "\n\n---\n\n"
@@ -59,7 +60,7 @@ def context(
     """
     reach = settings.context_reach
     before, after = (max(0, min(int(n), reach)) for n in (before, after))
-    wanted = anchors.select("chunk_id").distinct().withColumn(
+    wanted = small(anchors.select("chunk_id").distinct()).withColumn(
         "id", F.explode(F.sequence(F.col("chunk_id") - before, F.col("chunk_id") + after))
     )
     requested = F.col("id") == F.col("chunk_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.config import DEFAULTS, Settings
 from quire.functions import text as T
 from quire.functions.expr import bind
-from quire.functions.frames import prefix_sum
+from quire.functions.frames import prefix_sum, small
 
 # Titles, bookmarks and files that are not papers.
 SKIP_TITLE = (
@@ -130,19 +130,22 @@ def top_outline(toc: DataFrame) -> DataFrame:
 
 
 def article_spans(outline: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """``pdf, nth, title, lo, hi`` page ranges between outline entries."""
-    order = Window.partitionBy("pdf").orderBy("page", "ord")
-    return (
-        outline.select(
-            "pdf", "title", F.col("page").alias("lo"),
-            F.row_number().over(order).alias("nth"),
-            (F.lead("page").over(order) - 1).alias("_end"),
-        )
-        .join(page_counts, "pdf")
-        # positions keep counting over empty spans, which are then dropped
-        .select("pdf", "title", "lo", F.coalesce("_end", "page_count").alias("hi"), "nth")
+    """``pdf, nth, title, lo, hi`` page ranges between outline entries.
+
+    Entries are numbered by a running sum and meet their successor by number, so
+    one file with most of the entries is still spread over all tasks.
+    """
+    entries = prefix_sum(outline.select("pdf", "ord", "title", "page"), ["page", "ord"], group=["pdf"], name="at")
+    following = entries.select("pdf", (F.col("at") - 1).alias("at"), (F.col("page") - 1).alias("_end"))
+    spans = (
+        entries.join(following, ["pdf", "at"], "left")
+        .join(small(page_counts), "pdf")
+        .select("pdf", "at", "title", F.col("page").alias("lo"), F.coalesce("_end", "page_count").alias("hi"))
         .filter(F.col("hi") >= F.col("lo"))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("pdf").orderBy("nth")))
+    )
+    # positions count over the spans that are left
+    return prefix_sum(spans, ["at"], group=["pdf"], name="nth").select(
+        "pdf", F.col("nth").cast("int").alias("nth"), "title", "lo", "hi"
     )
 
 

@@ -245,12 +245,14 @@ def search(
     points. With reranking the fused list is as long and the scorer decides.
     """
     live = payload_filter(points, book, kind, source)
+    texts = queries.select("qid", F.col("text").alias("query"))
+    # fused lists hold at most ``candidates`` narrow rows per query, so a batch of
+    # one block is known to be small and the points' texts are never shuffled
+    single = queries.limit(settings.query_block + 1).count() <= settings.query_block
+    hint = F.broadcast if single else (lambda df: df)
     ranked = nearest(live, encode_queries(queries, encoder), candidates, settings=settings)
     fused = fuse(ranked, candidates if rerank_hits else k, settings)
-    # at most candidates x queries narrow rows; adaptive execution picks the join
-    hits = live.drop("dense", "terms", "weights").join(fused, "id").join(
-        queries.select("qid", F.col("text").alias("query")), "qid"
-    )
+    hits = live.drop("dense", "terms", "weights").join(hint(fused), "id").join(hint(texts), "qid")
     if rerank_hits:
         hits = rerank(hits, k, scorer)
     return hits

@@ -20,6 +20,7 @@ def session(app: str = "quire", **conf: str) -> SparkSession:
         # one row is a whole document, so Arrow batches are kept short
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # call sites are captured for every Column built, which dominates planning
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }

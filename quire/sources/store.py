@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
+from quire.functions.frames import small
 from quire.operators import maintenance as M
 
 ROWS_PER_FILE = 250_000
@@ -63,7 +64,7 @@ class Store:
         rest = (
             self._read("points", schemas.POINTS + ", shard int")
             .filter(F.col("shard").isin(touched))
-            .join(books, "book", "left_anti")
+            .join(small(books), "book", "left_anti")
         )
         rows = rest.unionByName(fresh.withColumn("shard", self.shard_of("book")))
         (
@@ -85,7 +86,7 @@ class Store:
         An overwrite by partition does not touch a partition it writes no row
         to, so these are the shards that held nothing else.
         """
-        left = self._read("points", schemas.POINTS + ", shard int").join(books, "book", "left_semi")
+        left = self._read("points", schemas.POINTS + ", shard int").join(small(books), "book", "left_semi")
         for row in left.select("shard").distinct().collect():
             fs, where = self._fs(f"points/shard={row['shard']}")
             fs.delete(where, True)
