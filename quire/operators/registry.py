@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.config import DEFAULTS, Settings
 from quire.functions import text as T
 from quire.functions.expr import bind
-from quire.functions.frames import prefix_sum, small
+from quire.functions.frames import durable, prefix_sum, small
 
 # Titles, bookmarks and files that are not papers.
 SKIP_TITLE = (
@@ -86,7 +86,8 @@ def unique_keys(wanted: DataFrame, taken: DataFrame, order: str = "path") -> Dat
     x_7, taken or wanted as a base itself, holds number 7 of base x.
     """
     base = F.when(F.coalesce(F.col("base"), F.lit("")) == "", "doc").otherwise(F.col("base"))
-    rows = wanted.select(F.col(order).cast("string").alias(order), base.alias("base"))
+    # narrow, and read three times below
+    rows = durable(wanted.select(F.col(order).cast("string").alias(order), base.alias("base")))
 
     def numbered(names: DataFrame) -> DataFrame:
         number = F.regexp_extract("name", "_([1-9][0-9]{0,8})$", 1).try_cast("bigint")
