@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--force", action="store_true")
     p.add_argument("--recreate", action="store_true")
     p.add_argument("--limit", type=int)
+    p.add_argument("--shards", type=int, default=256, help="partitions of a new index")
     p = command("search")
     p.add_argument("query")
     p.add_argument("-k", type=int, default=DEFAULTS.k)
@@ -64,7 +65,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = session()
-    store = Store(spark, args.index)
+    store = Store(spark, args.index, getattr(args, "shards", 256))
     if args.command == "build":
         texts = read_marked_text(spark, args.texts)
         documents = read_registry(spark, args.registry).join(texts, "key")

@@ -84,7 +84,7 @@ def alpha_ratio(c: Column) -> Column:
 
 
 def is_prose(c: Column) -> Column:
-    """A line of running text rather than a formula fragment or a heading."""
+    """Long enough, with spaces, mostly letters and not mostly capitals."""
 
     def judged(t: Column) -> Column:
         dense = F.length(F.replace(t, F.lit(" "), F.lit("")))

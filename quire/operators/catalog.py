@@ -9,6 +9,7 @@ from quire.config import DEFAULTS, Settings
 from quire.functions.frames import small
 from quire.operators.retrieval import cite_row
 
+# What callers of the tools are shown.
 SEPARATOR = "\n\n---\n\n"
 NO_HITS = "No passages matched that query."
 BAD_KIND = 'kind must be "book" or "article".'

@@ -265,7 +265,7 @@ def cite(
     book_title: Column, source: Column, section: Column, section_title: Column,
     page_start: Column, page_end: Column,
 ) -> Column:
-    """One line a reader can follow back to the page."""
+    """Citation line: title, source, section and page range, empty parts left out."""
 
     def number(p: Column) -> Column:
         return F.coalesce(p.cast("string"), F.lit("None"))

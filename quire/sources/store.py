@@ -18,10 +18,22 @@ ROWS_PER_FILE = 250_000
 
 
 class Store:
-    """Tables of one collection below ``path``."""
+    """Tables of one collection below ``path``.
+
+    ``shards`` is chosen when the first points are written and then kept with
+    them. A few gigabytes per shard keep small changes cheap: 256 do for a
+    terabyte, a 100 TB index wants tens of thousands.
+    """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 256):
-        self.spark, self.path, self.shards = spark, path.rstrip("/"), shards
+        self.spark, self.path = spark, path.rstrip("/")
+        kept = self._read("layout", "shards int").first()
+        self.shards = kept["shards"] if kept else shards
+
+    def _keep_layout(self) -> None:
+        if not self.exists("layout"):
+            layout = self.spark.createDataFrame([(self.shards,)], "shards int")
+            layout.coalesce(1).write.parquet(f"{self.path}/layout")
 
     def _fs(self, name: str):
         jvm = self.spark._jvm
@@ -61,6 +73,7 @@ class Store:
         touched = [r[0] for r in books.select(self.shard_of("book")).distinct().collect()]
         if not touched:
             return
+        self._keep_layout()
         rest = (
             self._read("points", schemas.POINTS + ", shard int")
             .filter(F.col("shard").isin(touched))
@@ -113,7 +126,7 @@ class Store:
 
     def drop(self) -> None:
         """Forget everything, for a build from scratch."""
-        for name in ("points", "manifest"):
+        for name in ("points", "manifest", "layout"):
             fs, where = self._fs(name)
             fs.delete(where, True)
 
@@ -121,6 +134,7 @@ class Store:
         """Copy all points and manifest rows; safe to repeat. Gives both counts."""
         points, manifest = self.points(), self.manifest()
         if self.exists("points"):
+            other._keep_layout()
             merged = M.copy_into(points, other.points()).withColumn("shard", other.shard_of("book"))
             merged.withColumn("_file", F.floor(F.col("id") / ROWS_PER_FILE)).repartition(
                 "shard", "_file"

@@ -97,6 +97,8 @@ def test_remove_and_copy(spark, store, tmp_path):
     store.remove(docs.select("key"))
     assert books(store) == {} and store.manifest().isEmpty()
     assert len(books(other)) == 6
+    # the number of shards is the one the index was made with
+    assert Store(spark, other.path, shards=99).shards == 2
 
 
 def test_serving(spark, store):

@@ -194,3 +194,28 @@ def test_cite(spark, section, lo, hi, source, line):
 def test_folio_candidates(spark):
     text = "\n".join(["Vol. 12, No. 3", "", "a 417", "b", "c", "d 99999 400000", "e", "f 0 20"])
     assert sorted(one(spark, G.folio_candidates(c("t")), t=text)) == [3, 12, 20, 417]
+
+
+def test_written_clean_text_is_read_back_the_same(spark):
+    raw = "# SOURCE: a.pdf\n# TITLE: T\n# PAGES: pdf index\n# EXTRACTION: x\n\n[PAGE 1]\nbody\n"
+    written = one(spark, C.render_clean(c("r"), c("t")), r=raw, t=raw)
+    assert written.startswith("# SOURCE: a.pdf\n# TITLE: T\n# PAGES: pdf index\n# CLEANED: matter trimmed")
+    assert sections_of(spark, written, "book") == sections_of(spark, raw, "book") == [
+        (None, None, "front matter", [("body", 1, 1)])
+    ]
+
+
+def test_preview(spark):
+    assert one(spark, R.preview(c("t")), t="a\nb" + "x" * 700) == "a b" + "x" * 597 + " ..."
+
+
+def test_bound_values_are_evaluated_once(spark):
+    """A per-element lookup must not rebuild the array it looks into."""
+    import time
+
+    from quire.functions.expr import bind
+
+    text = "\n".join(["line"] * 20000)
+    start = time.time()
+    n = one(spark, bind(F.split(c("t"), "\n"), lambda ls: F.size(F.filter(ls, lambda l, i: F.get(ls, i - 1) == l))), t=text)
+    assert n == 19999 and time.time() - start < 20
