@@ -117,8 +117,8 @@ from counts left join (select pdf, count(*) as m from outline group by pdf) usin
 
 ORACLES["page_titles"] = r"""
 with l as (
-  select lang as pdf, doc_id as page, round(40.0::double - least(length(t), 300) / 10.0::double, 1) as size, ((n - 1) % 7)::double as x,
-    round((n - 1) * 12.25::double) as y, trim(t) as t
+  select lang as pdf, doc_id as page, round_even(40.0::double - least(length(t), 300) / 10.0::double, 1) as size, ((n - 1) % 7)::double as x,
+    round_even((n - 1) * 12.25::double, 0) as y, trim(t) as t
   from documents, unnest(string_split(text, chr(10))) with ordinality as u(t, n) where trim(t) <> ''),
 s as (
   select pdf, page, size, trim(regexp_replace(string_agg(t, ' ' order by y, x, t), '\s+', ' ', 'g')) as title from l group by all)

@@ -170,8 +170,8 @@ def page_titles(spans: DataFrame) -> DataFrame:
     )
     by_size = (
         spans.filter(text != "")
-        .groupBy("pdf", "page", F.round("size", 1).alias("size"))
-        .agg(F.collect_list(F.struct(F.round("y").alias("y"), F.round("x").alias("x"), text.alias("text"))).alias("words"))
+        .groupBy("pdf", "page", F.bround("size", 1).alias("size"))
+        .agg(F.collect_list(F.struct(F.bround("y").alias("y"), F.bround("x").alias("x"), text.alias("text"))).alias("words"))
         .select("pdf", "page", "size", title.alias("title"))
     )
     good = (
