@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 c = F.col
@@ -105,3 +106,101 @@ with w as (
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from w left join kept using (doc_id)
 """
+
+
+@query
+def op8_capture_index(spark, d):
+    """A WARC record per page, written, indexed, and read back through the index."""
+    from quire.llm.warc import capture_keys, lookup, write_archive
+
+    pages = table(spark, d, "pages")
+    return lookup(write_archive(pages, min_bytes=0), capture_keys(pages), payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_sentencepiece(spark, d):
+    """Ids of every document and whether they decode to its text."""
+    from quire.llm.spm import encode, read_model
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return encode(docs, read_model(TOKENIZER), decode=True).select(
+        "doc_id", "n_tokens", "token_ids", F.expr("decoded <=> replace(text, '\u2581', ' ')").alias("round_trip"))
+
+
+@query
+def op3_perspectives(spark, d):
+    """Every dialogue as each of its speakers sees it."""
+    from quire.llm.chat import perspectives
+
+    return perspectives(table(spark, d, "conversations"))
+
+
+ORACLES["op3_perspectives"] = r"""
+with t as (
+    select conv_id, coalesce(conv_id::varchar, '-') as conv, role, replace(coalesce(text, ''), '<|', '< |') as text,
+        row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as nth
+    from conversations
+), s as (select distinct coalesce(conv_id::varchar, '-') as conv, role as speaker from conversations where role <> 'system'),
+seen as (
+    select conv, conv_id, speaker, ((nth - 1) // 256)::int as part, nth, coalesce(role = speaker, false) as own,
+        '<|im_start|>' || case when role = speaker then 'assistant' when role = 'system' then 'system'
+            else 'user name=' || coalesce(regexp_replace(role, '[<|>\s]', '_', 'g'), 'unknown') end || chr(10) as head,
+        text || '<|im_end|>' as body
+    from t join s using (conv)
+), placed as (
+    select *, sum(length(head) + length(body) + 1) over (partition by conv, speaker, part order by nth)::bigint - 1 as stop from seen
+)
+select any_value(conv_id) as conv_id, speaker, part, count(*) as n_turns, count(*) filter (own) as n_own,
+    string_agg(head || body || chr(10), '' order by nth) as rendered,
+    coalesce(string_agg((stop - length(body)) || '-' || stop, ',' order by nth) filter (own), '') as mask
+from placed group by conv, speaker, part
+"""
+
+
+@query
+def op4_temperature_mix(spark, d):
+    """The documents in a mix of their sources with an entropy of 95 % and at most 4 passes over a source."""
+    from quire.llm.mixing import Target, mix
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return mix(docs, Target(entropy=0.95, repetition=4.0), seed=7).select("doc_id", "source", "block", "place", "n_tokens")
+
+
+ORACLES["op4_temperature_mix"] = r"""
+with d as (
+    select doc_id, source, coalesce('=' || source, '-') as key,
+        len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as n
+    from documents
+), sums as (select key, sum(n)::bigint as t from d group by key),
+p as (select key, t, t / (select sum(t) from sums)::double as p from sums where t > 0),
+edge as (select count(*) as n, min(p) as lo, max(p) as hi, 1048576 as g from p),
+coarse as (
+    select k, ln(sum(pow(p, k / g))) - (k / g) * sum(pow(p, k / g) * ln(p)) / sum(pow(p, k / g)) as h,
+        pow(any_value(lo), k / g - 1) * pow(any_value(hi), 1 - k / g) as r
+    from p, edge, (select unnest(range(0, 1048577, 1024)) as k) group by k, g
+), near as (
+    select (select coalesce(min(k), 1048577) from coarse, edge where h < 0.95 * ln(n) - 1e-9) as e,
+        (select min(k) from coarse where r <= 4 + 1e-9) as r
+), fine as (
+    select k, ln(sum(pow(p, k / g))) - (k / g) * sum(pow(p, k / g) * ln(p)) / sum(pow(p, k / g)) as h,
+        pow(any_value(lo), k / g - 1) * pow(any_value(hi), 1 - k / g) as r
+    from p, edge, (
+        select distinct unnest(range(greatest(0, x - 1024), least(1048576, x) + 1)) as k from (select unnest([e, r]) as x from near)
+    ) group by k, g
+), a as (
+    select greatest(
+        (select coalesce(min(k), 1048577) - 1 from fine, edge where h < 0.95 * ln(n) - 1e-9),
+        (select min(k) from fine where r <= 4 + 1e-9), 0) / 1048576 as a
+), z as (select sum(pow(p, a)) as z, max(p) as hi from p, a),
+plan as (
+    select key, t, round(pow(p, a) / z * ((select sum(t) from sums) * z * pow(hi, 1 - a)))::bigint as b from p, a, z
+    union all select key, 0, 0 from sums where t = 0
+), blocks as (select key, t, b, case when t > 0 then b // t else 1 end as n_blocks from plan),
+e as (
+    select doc_id, source, key, n, n_blocks, b - n_blocks * t as rest, unnest(range(n_blocks + 1))::bigint as block
+    from d join blocks using (key)
+), placed as (select *, md5('7:' || block || ':' || doc_id) as place from e),
+run as (select *, sum(n) over (partition by key, block order by place) as upto from placed)
+select doc_id, source, block, place, n as n_tokens from run where block < n_blocks or rest > 0 and upto <= rest
+"""

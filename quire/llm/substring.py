@@ -320,9 +320,7 @@ def substring_dedup(
         dealt.where("doc_id is not null").select("part", "doc_id", "text").groupBy("part")
         .cogroup(shared.unionByName(copies).groupBy("part")).applyInArrow(windows, PACKED), "windows")
     last = stored(settle(found, parts, smaller=True), "repeats").withColumn("copy", F.lit(False))
-    schema = docs.schema
-    for field in StructType.fromDDL(RESULT):
-        schema = schema.add(field)
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(RESULT).fields])
     done = dealt.groupBy("part").cogroup(last.unionByName(copies).groupBy("part")).applyInArrow(finish, schema)
     back = {doc_id: c("doc_id").alias(doc_id), text: c("text").alias(text)}
     return done.select(
