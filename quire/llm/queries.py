@@ -204,3 +204,14 @@ e as (
 run as (select *, sum(n) over (partition by key, block order by place) as upto from placed)
 select doc_id, source, block, place, n as n_tokens from run where block < n_blocks or rest > 0 and upto <= rest
 """
+
+
+@query
+def op6_co_training(spark, d):
+    """The quality of every document, from two views trained on the labels and on each other."""
+    from quire.llm.quality import fit, score
+
+    docs = table(spark, d, "documents")
+    model = fit(docs, table(spark, d, "labels"), most_labelled=3000, most_pool=3000)
+    return score(docs.select("doc_id", "text", "lang", "source"), model).select(
+        "doc_id", "content_score", "metadata_score", "quality_score", "keep")
