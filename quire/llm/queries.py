@@ -215,3 +215,12 @@ def op6_co_training(spark, d):
     model = fit(docs, table(spark, d, "labels"), most_labelled=3000, most_pool=3000)
     return score(docs.select("doc_id", "text", "lang", "source"), model).select(
         "doc_id", "content_score", "metadata_score", "quality_score", "keep")
+
+
+@query
+def op10_licence_scan(spark, d):
+    """Licence notices in all documents, by the paragraph classifier trained on templates and these documents."""
+    from quire.llm.licences import scan, train
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return scan(docs, train(docs, most_negatives=2000))

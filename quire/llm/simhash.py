@@ -53,6 +53,10 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = 3) -> DataFra
     return df.mapInArrow(run, schema)
 
 
+def hex16(fp: str) -> F.Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 class BKTree:
     """Fingerprints in a tree: a child hangs on the edge of its distance to the parent."""
 
@@ -206,4 +210,4 @@ def near_duplicates(
     classes = reps.join(linked, c("rep") == c("node"), "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(classes, "fp", "left").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", hex16("fp").alias("fingerprint"), "component_id")
