@@ -99,7 +99,7 @@ MENTIONS = (
 # Every word sequence that counts holds one of these.
 TRIGGERS = (
     "license", "licensed", "licence", "licenced", "licenses", "gnu", "gpl", "lgpl", "agpl", "apache", "bsd", "mozilla",
-    "mpl", "cc", "cc0", "creative", "spdx", "copyright", "permission", "rights", "redistribution", "redistribute", "warranty",
+    "mpl", "cc", "cc0", "creative", "commons", "attribution", "spdx", "copyright", "permission", "rights", "redistribution", "redistribute", "warranty",
 )
 DROPPED = 6  # copies of a template, each without every sixth word from another place on
 TEMPERATURES = tuple(x / 4 for x in range(1, 33))
