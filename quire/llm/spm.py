@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,8 +22,10 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # kinds of pieces, fixed by the file format
 UNIGRAM, BPE = 1, 2  # kinds of models, fixed by the file format
 RESULT = "token_ids array<int>, n_tokens long, decoded string"
-MEMO = 400_000  # segmentations a worker remembers
+MEMO = 200_000  # segmentations a worker remembers of late, and as many from before
+HEAD, HEADS = 6, 100_000  # length and number of beginnings it remembers
 PAIRS = 1_000_000  # judgements on pairs of tokens it remembers
+START = -2  # stands for the token before the first
 SHORT = 64  # longer stretches of text are not remembered
 STEP = 1 << 20  # characters of one text that are split at once
 
@@ -96,7 +99,7 @@ class Automaton:
     """Aho-Corasick automaton over the pieces.
 
     ``ends[n]`` is the piece that ends at node ``n`` (-1: none), ``link[n]`` the
-    nearest shorter suffix that is a piece.
+    nearest shorter suffix that is a piece: the output link.
     """
 
     def __init__(self, ids: dict[str, int]) -> None:
@@ -113,29 +116,45 @@ class Automaton:
             self.ends[node] = i
         self.fail = [0] * len(self.next)
         self.link = [0] * len(self.next)
+        self.letters = {ch for piece in ids for ch in piece}
         queue = deque(self.next[0].values())
         while queue:
             node = queue.popleft()
             for ch, child in self.next[node].items():
-                back = self.fail[node]
-                while back and ch not in self.next[back]:
-                    back = self.fail[back]
-                back = self.next[back].get(ch, 0)
+                back = self.step(self.fail[node], ch)
                 self.fail[child] = back
                 self.link[child] = back if self.ends[back] >= 0 else self.link[back]
                 queue.append(child)
 
+    def step(self, node: int, ch: str) -> int:
+        """Where a character leads, along the failure links."""
+        while node and ch not in self.next[node]:
+            node = self.fail[node]
+        return self.next[node].get(ch, 0)
+
+    def outputs(self, node: int) -> list[int]:
+        """The pieces that end at a node, longest first, along the output links."""
+        found, at = [], node if self.ends[node] >= 0 else self.link[node]
+        while at:
+            found.append(self.ends[at])
+            at = self.link[at]
+        return found
+
 
 class Encoder(dict):
     """Segments texts; as a dict it remembers the ids of short stretches of text."""
 
     def __init__(self, data: bytes) -> None:
         super().__init__()
+        self.before: dict[str, bytes] = {}
+        self.heads: dict[str, tuple[int, list[int], list[float]]] = {}
         self.model = m = Model(data)
-        self.automaton = Automaton(m.ids)
-        self.length = [len(p) for p in m.pieces]
-        self.agree: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.automaton = walk = Automaton(m.ids)
+        # steps taken before, by node and character; a node's outputs with length and known judgements
+        self.steps: list[dict[str, int]] = [dict(x) for x in walk.next]
+        self.outputs: list[tuple | None] = [None] * len(walk.next)
+        self.judged: dict[int, dict[int, bool]] = {t: {} for t in m.ids.values()}
+        self.n_judged = 0
         self.penalty = min((m.scores[i] for i in m.ids.values()), default=0.0) - 10.0
         # a stretch ends where no piece reaches across: in front of spaces if no
         # piece has one inside, and around characters that no piece has
@@ -147,74 +166,87 @@ class Encoder(dict):
         self.border = re.compile(f"(?<!{SPACE}){SPACE}" if not inside else f"[{re.escape(alone)}]" if alone else "(?!)").search
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.spell(self.segment(stretch)), np.int32).tobytes()
+        ids = self.before.get(stretch)
+        if ids is None:
+            ids = array("i", self.spell(stretch, self.segment(stretch))).tobytes()
         if len(stretch) <= SHORT:
             if len(self) >= MEMO:
+                self.before = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
 
-    # a token is a piece's id, or -1 for a character that is no piece
-
-    def segment(self, text: str) -> list[tuple[int, str]]:
-        """Tokens of a stretch with their text, in one pass over the automaton."""
-        walk, bpe = self.automaton, self.model.kind == BPE
-        follow, fail, ends, link = walk.next, walk.fail, walk.ends, walk.link
-        length, scores, agree, width = self.length, self.model.scores, self.agree, len(self.length)
-        best: list[int] = []  # the last token of each prefix
-        score = [0.0]
-        node = 0
-        for i, ch in enumerate(text):
-            while node and ch not in follow[node]:
-                node = fail[node]
-            node = follow[node].get(ch, 0)
-            at = node if ends[node] >= 0 else link[node]  # then along the output links: pieces that end here
-            pick, top, single = -1, -1e300, False
-            while at:
-                t = ends[at]
-                start = i - length[t]
-                if bpe:
-                    if start < 0:
-                        fits = self.is_whole(t)
-                    else:
-                        fits = agree.get(best[start] * width + t)
-                        if fits is None:
-                            fits = self.fits(best[start], t)
+    def ends_at(self, node: int) -> tuple:
+        """Pieces that end at a node, longest first, with their length and what is known about them."""
+        pieces, scores = self.model.pieces, self.model.scores
+        known = self.outputs[node] = tuple(
+            (t, len(pieces[t]), self.judged[t], scores[t]) for t in self.automaton.outputs(node))
+        return known
+
+    def step(self, node: int, ch: str) -> int:
+        to = self.automaton.step(node, ch)
+        if ch in self.automaton.letters:  # bounded by nodes and letters of the model
+            self.steps[node][ch] = to
+        return to
+
+    def segment(self, text: str) -> list[int]:
+        """Tokens of a stretch in one pass over the automaton: ids, or -1 for a character that is no piece."""
+        steps, outputs, bpe = self.steps, self.outputs, self.model.kind == BPE
+        head = text[:HEAD]  # stretches with the same beginning share the first steps
+        if head in self.heads:
+            node, best, score = self.heads[head]
+            best, score, first = best[:], score[:], HEAD
+        else:  # of each prefix: its last token, and its score
+            node, best, score, first = 0, [START], [0.0], 0
+        for i, ch in enumerate(text[first:], first + 1):
+            to = steps[node].get(ch)
+            node = self.step(node, ch) if to is None else to
+            found = outputs[node]
+            if found is None:
+                found = self.ends_at(node)
+            pick = -1
+            if bpe:
+                for t, n, judged, _ in found:
+                    fits = judged.get(best[i - n])
+                    if fits is None:
+                        fits = self.fits(best[i - n], t)
                     if fits:
                         pick = t
                         break
-                else:
-                    single = single or length[t] == 1
-                    if score[start + 1] + scores[t] > top:
-                        pick, top = t, score[start + 1] + scores[t]
-                at = link[at]
-            if not bpe:
-                if not single and score[i] + self.penalty > top:
-                    pick, top = -1, score[i] + self.penalty
+            else:
+                top, single = -1e300, False
+                for t, n, _, value in found:
+                    single = single or n == 1
+                    if score[i - n] + value > top:
+                        pick, top = t, score[i - n] + value
+                if not single and score[i - 1] + self.penalty > top:
+                    pick, top = -1, score[i - 1] + self.penalty
                 score.append(top)
             best.append(pick)
-        tokens, end = [], len(text)
+            if i == HEAD and not first:
+                if len(self.heads) >= HEADS:
+                    self.heads.clear()
+                self.heads[head] = node, best[:], score[:]
+        tokens, end, pieces = [], len(text), self.model.pieces
         while end:
-            t = best[end - 1]
-            start = end - (length[t] if t >= 0 else 1)
-            tokens.append((t, text[start:end]))
-            end = start
+            t = best[end]
+            tokens.append(t)
+            end -= len(pieces[t]) if t >= 0 else 1
         return tokens[::-1]
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether merging the text of two tokens gives just these two again."""
-        if len(self.agree) >= PAIRS:
-            self.agree.clear()
+        """Whether merging the text of two tokens gives just these two again.
+
+        Behind an unknown character or at the start the second one has to stand alone.
+        """
+        self.n_judged += 1
+        if self.n_judged > PAIRS:
+            for x in self.judged.values():
+                x.clear()
+            self.n_judged = 0
         pieces = self.model.pieces
-        known = self.is_whole(right) if left < 0 else self.merge(pieces[left] + pieces[right]) == [pieces[left], pieces[right]]
-        self.agree[left * len(pieces) + right] = known
-        return known
-
-    def is_whole(self, token: int) -> bool:
-        known = self.whole.get(token)
-        if known is None:
-            piece = self.model.pieces[token]
-            known = self.whole[token] = self.merge(piece) == [piece]
+        first = [pieces[left]] if left >= 0 else []
+        known = self.judged[right][left] = self.merge("".join(first) + pieces[right]) == [*first, pieces[right]]
         return known
 
     def merge(self, text: str) -> list[str]:
@@ -231,15 +263,19 @@ class Encoder(dict):
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def spell(self, tokens: list[tuple[int, str]]) -> list[int]:
+    def spell(self, text: str, tokens: list[int]) -> list[int]:
+        """Ids of tokens; what is no piece is spelled in bytes or is unknown."""
+        if -1 not in tokens:
+            return tokens
         ids: list[int] = []
-        for t, text in tokens:
+        at = 0
+        for t in tokens:
             if t >= 0:
                 ids.append(t)
-            elif self.model.fallback:
-                ids += [self.model.bytes[b] for b in text.encode()]
+                at += len(self.model.pieces[t])
             else:
-                ids.append(self.model.unknown)
+                ids += [self.model.bytes[b] for b in text[at].encode()] if self.model.fallback else [self.model.unknown]
+                at += 1
         return ids
 
     def encode(self, text: str) -> bytes:
