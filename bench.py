@@ -18,7 +18,7 @@ HEADLINE = (
     # retrieval
     "dense_topk", "sparse_topk", "rrf_fusion", "hybrid_search", "filtered_search", "read_context",
     # registration, maintenance, catalog
-    "dedup_first", "unique_key", "free_slots", "article_spans", "offset_vote", "keyset_pages",
+    "distinct_files", "unique_key", "free_slots", "article_spans", "offset_vote",
     "upsert_points", "migrate_upsert", "catalog_summary", "status_rollup", "history_window",
 )
 

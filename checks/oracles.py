@@ -24,7 +24,13 @@ SLUG = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_')"
 FIRST_LINE = "string_split(text, chr(10))[1]"
 STOP = "'the','and','with','for','series','edition','wiley','press','ieee','inc','compress','analysis','vol'"
 
-ORACLES["dedup_first"] = "select min(doc_id) as doc_id, n_chars from documents group by n_chars, lower(text)"
+ORACLES["distinct_files"] = """
+with f as (
+  select source || case when doc_id % 2 = 0 then '-b/' else '/' end || (doc_id % 7) || '/' as folder,
+    case when doc_id % 11 = 0 then '~' else '' end || upper(lang) || (n_chars % 50) || '.pdf' as name, n_chars % 90 as length
+  from documents)
+select length, lower(name) as name, arg_min(folder || name, string_split(folder || name, '/')) as path
+from f where name not like '~%' group by length, lower(name)"""
 
 ORACLES["formfeed_pages"] = """
 select doc_id as pdf, (3 + n - 1)::int as page, md5(t) as text_md5
@@ -42,11 +48,6 @@ from paged group by slot, page""")
 ORACLES["limit_per_group"] = """
 select source, doc_id from (select *, row_number() over (partition by source order by doc_id) as r from documents) where r <= 5"""
 
-ORACLES["keyset_pages"] = """
-select page_no, count(*) as n, min(id) as first, max(id) as last from (
-  select id, (row_number() over (order by id) - 1) // 1000 as page_no
-  from (select distinct l_orderkey * 100 + l_linenumber as id from lineitem)) group by page_no"""
-
 ORACLES["migrate_upsert"] = """
 select doc_id as id, case when lang <> 'fr' then md5(text) else 'old' end as payload from documents"""
 
@@ -62,22 +63,22 @@ select doc_id, left(case when len(words) > 0 then array_to_string(words[1:2], '_
   when s = '' then 'doc' else left(s, 12) end, 24) as short_key from w"""
 
 ORACLES["unique_key"] = f"""
-with recursive b as (
-  select lpad(doc_id::varchar, 12, '0') as path,
-    case when s = '' then 'doc' else s end as base, s as taken
-  from (select doc_id, {SLUG.format(x="regexp_split_to_array(text, '[ \\n]+')[1]")} as s from documents)),
-names as (select distinct taken as name from b),
-held as (
-  select name as base, 1 as h from names
-  union select regexp_replace(name, '_[0-9]+$', ''), regexp_extract(name, '_([1-9][0-9]*)$', 1)::bigint
-  from (select name from names union select base from b) where regexp_matches(name, '_([2-9]|[1-9][0-9]+)$')),
-n as (select *, row_number() over (partition by base order by path) as nth from b),
-numbers as (
-  select base, x as free, row_number() over (partition by base order by x) as nth
-  from (select base, unnest(range(1, max(nth) + 1 + (select count(*) from held))) as x from n group by base) g
-  where not exists (select 1 from held where held.base = g.base and h = x))
-select path, case when free = 1 then base else base || '_' || free end as key
-from n join numbers using (base, nth)"""
+with recursive w as (
+  select doc_id, lpad(doc_id::varchar, 12, '0') as path, {SLUG.format(x="regexp_split_to_array(text, '[ \\n]+')[1]")} as s from documents),
+wanted as (select path, case when doc_id % 3 = 0 then s || '_' || (doc_id % 4 + 2) else s end as base from w),
+names as (select distinct base as name from wanted where length(base) % 2 = 0),
+b as (
+  select path, case when base = '' then 'doc' else base end as base, row_number() over (order by path) as i,
+    (select count(*) from wanted o where starts_with(o.base, wanted.base)) + (select count(*) from names where starts_with(name, wanted.base)) as most
+  from wanted),
+walk(i, used, path, key) as (
+  select 0::bigint, (select list(name) from names), null::varchar, null::varchar
+  union all
+  select i, list_append(used, k), path, k from (
+    select b.i, used, b.path, case when not list_contains(used, base) then base else base || '_' || list_filter(
+      range(2, most + 4), lambda n: not list_contains(used, base || '_' || n))[1] end as k
+    from walk join b on b.i = walk.i + 1))
+select path, key from walk where i > 0"""
 
 ORACLES["article_key"] = f"""
 with t as (select doc_id, lang, {SLUG.format(x=FIRST_LINE)} as s from documents)
@@ -111,13 +112,16 @@ spans as (
 
 ORACLES["top_outline"] = f"with {PDF} select pdf, ord, title, page from outline"
 ORACLES["article_spans"] = f"with {PDF} select pdf, title, lo, hi, nth from spans"
-ORACLES["issue_classifier"] = f"""with {PDF}
-select pdf, page_count, coalesce(m, 0) as marks, page_count >= 80 and coalesce(m, 0) >= 6 as is_issue
-from counts left join (select pdf, count(*) as m from outline group by pdf) using (pdf)"""
+ORACLES["issue_classifier"] = """
+with d as (select source || '-' || lang as pdf, doc_id, n_chars from documents),
+n as (select pdf, (count(*) + 70 + min(doc_id) % 15)::int as page_count from d group by pdf),
+e as (select pdf, 1 + n_chars % 8 as level, doc_id % 7 as page from d where n_chars % 4 = 0 and doc_id % 9 <> 0),
+m as (select pdf, count(*) filter (page > 0 and level = top) as marks from (select *, min(level) over (partition by pdf) as top from e) group by pdf)
+select pdf, page_count, coalesce(marks, 0) as marks, page_count >= 80 and coalesce(marks, 0) >= 6 as is_issue from n left join m using (pdf)"""
 
 ORACLES["page_titles"] = r"""
 with l as (
-  select lang as pdf, doc_id as page, round_even(40.0::double - least(length(t), 300) / 10.0::double, 1) as size, ((n - 1) % 7)::double as x,
+  select lang as pdf, doc_id as page, format('{:.1f}', 40.05::double - least(length(t), 300) / 10.0::double)::double as size, ((n - 1) % 7)::double as x,
     round_even((n - 1) * 12.25::double, 0) as y, trim(t) as t
   from documents, unnest(string_split(text, chr(10))) with ordinality as u(t, n) where trim(t) <> ''),
 s as (
@@ -142,14 +146,13 @@ ORACLES["folio_candidates"] = f"""with {FOLIO.format(key='doc_id', page='doc_id'
 select d.doc_id, coalesce(string_agg(v::varchar, ',' order by v), '') as folios
 from documents d left join folio_numbers f on f.doc_id = d.doc_id group by d.doc_id"""
 
-ORACLES["offset_vote"] = f"""with {PDF}, {FOLIO.format(key='pdf, page', page='page', src='pdf_pages')},
-votes as (
-  select f.pdf, v - f.page as o, count(*) as n from folio_numbers f
-  join (select * from spans where nth <= 8) s on s.pdf = f.pdf and s.lo = f.page
-  where v - f.page between -400 and 30000 group by all),
-best as (select pdf, o, n, row_number() over (partition by pdf order by n desc, o) as r from votes)
-select s.pdf, case when n >= 3 then o end as page_offset
-from (select distinct pdf from spans) s left join (select * from best where r = 1) b on b.pdf = s.pdf"""
+ORACLES["offset_vote"] = """
+with p as (
+  select source || '-' || lang as pdf, n_chars % 3 as r, row_number() over (partition by source, lang order by doc_id) as page from documents),
+v as (select pdf, case r when 0 then 400 when 1 then 100 end as o from p where page % 2 = 1 and page < 16),
+n as (select pdf, o, count(*) as n from v where o is not null group by all),
+best as (select pdf, n, o from n qualify row_number() over (partition by pdf order by n desc, o) = 1)
+select pdf, case when n >= 3 then o end::int as page_offset from (select distinct pdf from v) left join best using (pdf)"""
 
 ORACLES["skip_titles"] = rf"""
 with t as (

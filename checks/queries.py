@@ -34,10 +34,13 @@ def query(f: Query) -> Query:
 
 
 @query
-def dedup_first(spark, d):
-    """First document per (size, lower-case text) in id order."""
+def distinct_files(spark, d):
+    """One path per size and file name; two files of a name differ in their folders only."""
     docs = B.table(spark, d, "documents")
-    return docs.groupBy("n_chars", F.md5(F.lower("text")).alias("print")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n_chars")
+    name = F.concat(F.when(c("doc_id") % 11 == 0, "~").otherwise(""), F.upper("lang"), (c("n_chars") % 50).cast("string"), F.lit(".pdf"))
+    folder = F.concat("source", F.when(c("doc_id") % 2 == 0, "-b/").otherwise("/"), (c("doc_id") % 7).cast("string"), F.lit("/"))
+    files = docs.select(F.concat(folder, name).alias("path"), (c("n_chars") % 90).alias("length"))
+    return G.distinct_files(files).select("length", "name", "path")
 
 
 @query
@@ -76,12 +79,6 @@ def limit_per_group(spark, d):
     return M.first_per_group(B.table(spark, d, "documents"), 5, "source", "doc_id").select("source", "doc_id")
 
 
-@query
-def keyset_pages(spark, d):
-    return M.keyset_pages(B.table(spark, d, "lineitem").select(
-        (c("l_orderkey") * 100 + c("l_linenumber")).alias("id")).distinct(), "id", 1000)
-
-
 @query
 def migrate_upsert(spark, d):
     """Points copied over an older store; ids of both sides appear once."""
@@ -106,11 +103,12 @@ def short_key(spark, d):
 
 @query
 def unique_key(spark, d):
-    """Keys of all documents: many share a first word, none may share a key."""
+    """Keys of all documents: many share a first word, some carry a number, half of the words are taken."""
+    word = T.slug(F.get(F.split("text", "[ \n]+", 2), F.lit(0)))
+    base = F.when(c("doc_id") % 3 == 0, F.concat(word, F.lit("_"), (c("doc_id") % 4 + 2).cast("string"))).otherwise(word)
     docs = B.table(spark, d, "documents").select(
-        F.lpad(c("doc_id").cast("string"), 12, "0").alias("path"), T.slug(F.get(F.split("text", "[ \n]+", 2), F.lit(0))).alias("base")
-    )
-    taken = docs.select(F.col("base").alias("key")).distinct()
+        F.lpad(c("doc_id").cast("string"), 12, "0").alias("path"), base.alias("base"))
+    taken = docs.where(F.length("base") % 2 == 0).select(c("base").alias("key")).distinct()
     return G.unique_keys(docs, taken).select("path", "key")
 
 
@@ -171,16 +169,22 @@ def article_spans(spark, d):
 
 @query
 def issue_classifier(spark, d):
-    return G.issues(G.top_outline(outline(spark, d)), page_counts(spark, d))
+    """One file per source and language: some are too short, some have too few entries."""
+    docs = B.table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("pdf"), "doc_id", "n_chars")
+    counts = docs.groupBy("pdf").agg((F.count(F.lit(1)) + 70 + F.min("doc_id") % 15).cast("int").alias("page_count"))
+    marks = docs.filter((c("n_chars") % 4 == 0) & (c("doc_id") % 9 != 0)).select(
+        "pdf", c("doc_id").alias("ord"), (1 + c("n_chars") % 8).cast("int").alias("level"), F.lit("x").alias("title"),
+        (c("doc_id") % 7).cast("int").alias("page"))
+    return G.issues(G.top_outline(marks), counts)
 
 
 @query
 def page_titles(spark, d):
-    """Lines as type: the shorter a line, the larger it is set."""
+    """Lines as type: the shorter a line, the larger it is set; all sizes lie on a border of rounding."""
     docs = B.documents(spark, d)
     lines = docs.select("lang", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     set_type = lines.select(
-        c("lang").alias("pdf"), c("doc_id").alias("page"), (F.lit(40.0) - F.least(F.length("text"), F.lit(300)) / 10).alias("size"),
+        c("lang").alias("pdf"), c("doc_id").alias("page"), (F.lit(40.05) - F.least(F.length("text"), F.lit(300)) / 10).alias("size"),
         (c("n") % 7).cast("double").alias("x"), (c("n") * 12.25).alias("y"), "text",
     )
     return G.page_titles(set_type)
@@ -204,9 +208,18 @@ def folioed(text, page):
 
 @query
 def offset_vote(spark, d):
-    pages = pdf_pages(spark, d)
-    printed = pages.select("pdf", "page", folioed(c("text"), c("page")).alias("text"))
-    return G.page_offsets(spans(spark, d), printed)
+    """One file per source and language, an article on every other page.
+
+    Folios are printed on some pages only, so files fall short of three votes,
+    and two rows of folios compete, so counts tie.
+    """
+    docs = B.table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("pdf"), "doc_id", "n_chars")
+    at = prefix_sum(docs, ["doc_id"], group=["pdf"], name="_page").withColumn("page", c("_page").cast("int"))
+    folio = F.when(c("n_chars") % 3 == 0, (c("page") + 400).cast("string")).when(
+        c("n_chars") % 3 == 1, (c("page") + 100).cast("string")).otherwise("")
+    pages = at.select("pdf", "page", F.concat(F.lit("Proc. "), folio, F.lit("\nbody")).alias("text"))
+    article = at.filter(c("page") % 2 == 1).select("pdf", c("page").alias("lo"), ((c("page") + 1) / 2).cast("int").alias("nth"))
+    return G.page_offsets(article, pages)
 
 
 @query

@@ -63,7 +63,7 @@ sizes as (
 wrapped as (
   select slot, i, 0 as ord, 0 as k,
     case when kind = 'article' then
-      case when (i // 5) % 2 = 0
+      case when (i // 5) % 2 = 0 and i < 150
         then ['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV'][i // 10 + 1] || '. '
         else 'A. ' end
       else '1.' || (i // 5 + 1) || ' ' end

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS
+from quire.operators import catalog as C
 from quire.operators.retrieval import cite_row, preview
 from quire.plans import serve
 from quire.plans.build import build
@@ -62,17 +64,30 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def show(table: DataFrame) -> int:
+    """Prints every row, a partition at a time; gives their number."""
+    print("  ".join(table.columns))
+    n = 0
+    for row in table.toLocalIterator():
+        print("  ".join("" if x is None else str(x) for x in row))
+        n += 1
+    return n
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = session()
     store = Store(spark, args.index, getattr(args, "shards", 256))
     if args.command == "build":
         texts = read_marked_text(spark, args.texts)
-        documents = read_registry(spark, args.registry).join(texts, "key")
-        build(
-            documents, store, read_settings(args.registry), keys=args.only, force=args.force,
+        found = read_registry(spark, args.registry).join(texts, "key", "left")
+        for r in found.filter("text is null").select("key").orderBy("key").toLocalIterator():
+            print(f"{r['key']}: MISSING, no text")
+        loaded = build(
+            found.filter("text is not null"), store, read_settings(args.registry), keys=args.only, force=args.force,
             recreate=args.recreate, limit=args.limit,
-        ).select("key", "chunks").show(100, truncate=False)
+        )
+        show(loaded.select("key", "chunks").orderBy("key"))
         print(f"{store.count()} points at {store.path}")
     elif args.command == "search":
         asked = spark.createDataFrame([(0, args.query)], "qid bigint, text string")
@@ -88,11 +103,13 @@ def main(argv: list[str] | None = None) -> None:
         anchor = spark.createDataFrame([(args.chunk_id,)], "chunk_id bigint")
         print(serve.read_context(store, anchor, args.before, args.after).first()["rendered"])
     elif args.command == "books":
-        serve.list_books(store, read_registry(spark, args.registry), args.source).show(200, truncate=False)
+        listed = serve.list_books(store, read_registry(spark, args.registry), args.source)
+        if show(listed.orderBy(*listed.columns[:2])) == 0 and args.source:
+            print(C.nothing_under(args.source))
     elif args.command == "status":
         for name, table in serve.status(store, read_registry(spark, args.registry), scan_files(spark, args.files)).items():
             print(name)
-            table.orderBy(*table.columns[:1]).show(50, truncate=False)
+            show(table.orderBy(*table.columns[:1]))
     elif args.command == "remove":
         store.remove(spark.createDataFrame([(k,) for k in args.key], "key string"))
         print(f"removed {', '.join(args.key)}; {store.count()} points left")

@@ -39,6 +39,13 @@ class Settings:
     offset_high: int = 30000
     offset_quorum: int = 3
 
+    # titles and folios on a page
+    min_title: int = 12
+    max_title: int = 300
+    folio_head: int = 4
+    folio_foot: int = 3
+    folio_most: int = 30000
+
     # pages with fewer characters on average have no text layer
     ocr_threshold: int = 120
 
@@ -60,6 +67,7 @@ class Settings:
 
     # broadcast sides are checked against this row count
     broadcast_rows: int = 200_000
+    broadcast_bytes: int = 64 << 20
 
 
 

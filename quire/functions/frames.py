@@ -15,12 +15,13 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    local session may go without and use a temporary one.
+    session inside one JVM may go without and use a temporary one.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
+        alone = context.master == "local" or context.master.startswith("local[")
+        if not folder and not alone:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint()
@@ -59,10 +60,13 @@ def prefix_sum(
     )
 
 
-def small(df: DataFrame, rows: int = DEFAULTS.broadcast_rows) -> DataFrame:
-    """``df`` with a broadcast hint if it is known to have at most ``rows`` rows.
+def small(df: DataFrame, rows: int = DEFAULTS.broadcast_rows, size: int = DEFAULTS.broadcast_bytes) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes.
 
-    The count stops after ``rows + 1`` rows; a larger side is left to a shuffle
-    join.
+    The count stops after ``rows + 1`` rows; texts and arrays count with their
+    real length. A larger side is left to a shuffle join.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    wide = [n for n, t in df.dtypes if not t.startswith(("int", "bigint", "double", "float", "boolean"))]
+    width = sum((F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{n}`")))), F.lit(0)) for n in wide), F.lit(8 * len(df.columns)))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
+    return F.broadcast(df) if found[0] <= rows and (found[1] or 0) <= size else df

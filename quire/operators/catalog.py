@@ -12,6 +12,7 @@ from quire.operators.retrieval import cite_row
 # What callers of the tools are shown.
 SEPARATOR = "\n\n---\n\n"
 NO_HITS = "No passages matched that query."
+NOTHING_UNDER = "Nothing indexed under {source!r}. Call list_books() for the sources."
 BAD_KIND = 'kind must be "book" or "article".'
 KINDS = ("book", "article")
 
@@ -155,6 +156,11 @@ def catalog_by_source(documents: DataFrame, source: str, settings: Settings = DE
     )
 
 
+def nothing_under(source: str) -> str:
+    """What a caller is told if no document is filed under a journal or year."""
+    return NOTHING_UNDER.format(source=source)
+
+
 def status_rollup(registry: DataFrame) -> DataFrame:
     """``source, docs, chunked`` per source and in total."""
     group = unfiled(F.col("source"), "(textbooks)")

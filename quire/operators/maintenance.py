@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS
-from quire.functions.frames import prefix_sum
 
 
 def only(df: DataFrame, keys: Sequence[str] | None, column: str = "key") -> DataFrame:
@@ -107,15 +106,6 @@ def unregistered(files: DataFrame, registry: DataFrame) -> DataFrame:
     return files.join(registry.select(F.col("pdf").alias("path")), "path", "left_anti")
 
 
-def keyset_pages(df: DataFrame, key: str = "id", page: int = 1000) -> DataFrame:
-    """``page_no, n, first, last``: the pages a cursor over ``key`` would return."""
-    return (
-        prefix_sum(df.select(key), [key], name="_n")
-        .groupBy(F.floor((F.col("_n") - 1) / page).alias("page_no"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
-    )
-
-
 def copy_into(source: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:
     """Target after copying every source row into it by key; repeating changes nothing."""
     return upsert(target, source, [key])

@@ -12,12 +12,12 @@ from quire.functions.frames import durable, prefix_sum, small
 
 # Titles, bookmarks and files that are not papers.
 SKIP_TITLE = (
-    r"(?i)^\s*(table of )?contents(?![\p{L}\p{N}_])|^\s*cover(?![\p{L}\p{N}_])|^\s*front cover|^\s*back cover|"
-    r"^\s*(guest )?editorial(?![\p{L}\p{N}_])|^\s*information for authors|^\s*call for papers|"
-    r"^\s*(z\s+)?regular papers\s*$|^\s*special issue papers\s*$|"
-    r"^\s*[0-9]{0,5}\s*ieee transactions on(?![\p{L}\p{N}_]).*(?<![\p{L}\p{N}_])vol\.|"
-    r"^\s*instructions? for authors|^\s*[0-9]{4} index(?![\p{L}\p{N}_])|^\s*index(?![\p{L}\p{N}_])|"
-    r"^\s*ieee (transactions|xplore)(?![\p{L}\p{N}_]).*(?<![\p{L}\p{N}_])contents(?![\p{L}\p{N}_])|^\s*blank page"
+    rf"(?i)^{T.SPACE}*(table of )?contents(?![\p{{L}}\p{{N}}_])|^{T.SPACE}*cover(?![\p{{L}}\p{{N}}_])|^{T.SPACE}*front cover|^{T.SPACE}*back cover|"
+    rf"^{T.SPACE}*(guest )?editorial(?![\p{{L}}\p{{N}}_])|^{T.SPACE}*information for authors|^{T.SPACE}*call for papers|"
+    rf"^{T.SPACE}*(z{T.SPACE}+)?regular papers{T.SPACE}*$|^{T.SPACE}*special issue papers{T.SPACE}*$|"
+    rf"^{T.SPACE}*\p{{Nd}}{{0,5}}{T.SPACE}*ieee transactions on(?![\p{{L}}\p{{N}}_]).*(?<![\p{{L}}\p{{N}}_])vol\.|"
+    rf"^{T.SPACE}*instructions? for authors|^{T.SPACE}*\p{{Nd}}{{4}} index(?![\p{{L}}\p{{N}}_])|^{T.SPACE}*index(?![\p{{L}}\p{{N}}_])|"
+    rf"^{T.SPACE}*ieee (transactions|xplore)(?![\p{{L}}\p{{N}}_]).*(?<![\p{{L}}\p{{N}}_])contents(?![\p{{L}}\p{{N}}_])|^{T.SPACE}*blank page"
 )
 SKIP_BOOKMARK = r"(?i)contents|cover|editorial|adverti|masthead|call[-_ ]?for|index|blank"
 INDEX_FILE = r"(?i)(?<![\p{L}\p{N}_])index(?![\p{L}\p{N}_]).*(?<![\p{L}\p{N}_])vol"
@@ -25,6 +25,11 @@ RUNNING_TITLE = r"(?i)^ieee(?![\p{L}\p{N}_])"
 PRINTED_NUMBER = r"(?<![\p{L}\p{N}_])(\p{Nd}{1,5})(?![\p{L}\p{N}_])"
 
 
+def path_order(path: str) -> Column:
+    """Sorts paths folder by folder: the separator comes before any other character."""
+    return F.replace(F.col(path), F.lit("/"), F.lit("\x01"))
+
+
 def distinct_files(files: DataFrame) -> DataFrame:
     """One path per (length, lower-case name), the first in path order.
 
@@ -35,7 +40,7 @@ def distinct_files(files: DataFrame) -> DataFrame:
     return (
         files.filter(~T.basename(F.col("path")).rlike("^[~.]"))
         .groupBy("length", name.alias("name"))
-        .agg(F.min("path").alias("path"))
+        .agg(F.min_by("path", path_order("path")).alias("path"))
     )
 
 
@@ -82,31 +87,55 @@ def free_numbers(
 def unique_keys(wanted: DataFrame, taken: DataFrame, order: str = "path") -> DataFrame:
     """``order, base, key``: bases made unique among themselves and against ``taken``.
 
-    Each row gets the first free one of base, base_2, base_3 ... in order. A key
-    x_7, taken or wanted as a base itself, holds number 7 of base x.
-    """
-    base = F.when(F.coalesce(F.col("base"), F.lit("")) == "", "doc").otherwise(F.col("base"))
-    # narrow, and read three times below
-    rows = durable(wanted.select(F.col(order).cast("string").alias(order), base.alias("base")))
+    Row by row in order, a row gets the first of base, base_2, base_3 ... that
+    is neither taken nor given to a row before it.
 
-    def numbered(names: DataFrame) -> DataFrame:
-        number = F.regexp_extract("name", "_([1-9][0-9]{0,8})$", 1).try_cast("bigint")
+    A base alone is numbered in one pass. Bases meet only where one is another
+    one with a number, such as x_2 and x: there the row that comes first gets
+    the name. Which one that is depends on the names below it, so it is settled
+    in rounds, from small numbers up, until nothing changes; without such bases
+    there is one pass.
+    """
+    c = F.col
+    base = F.when(F.coalesce(c("base"), F.lit("")) == "", "doc").otherwise(c("base"))
+    # narrow, and read several times below
+    rows = durable(wanted.select(c(order).cast("string").alias(order), base.alias("base")))
+    bases = durable(rows.groupBy("base").agg(F.min(order).alias("since")))
+
+    def numbered(names: DataFrame, *more: str) -> DataFrame:
+        number = F.regexp_extract("name", "_([1-9][0-9]{0,17})$", 1).try_cast("bigint")
         return names.filter(number >= 2).select(
-            F.regexp_replace("name", "_[0-9]+$", "").alias("base"), number.alias("number")
+            F.regexp_replace("name", "_[0-9]+$", "").alias("base"), number.alias("number"), *more
         )
 
-    names = taken.select(F.col("key").alias("name"))
-    held = (
-        names.select(F.col("name").alias("base"), F.lit(1).cast("bigint").alias("number"))
-        .unionByName(numbered(names))
-        .unionByName(numbered(rows.select(F.col("base").alias("name"))))
-        .join(rows.select("base").distinct(), "base", "left_semi")
-    )
-    return free_numbers(rows, held, order, ["base"], 1).select(
+    names = taken.select(c("key").alias("name")).distinct()
+    one = F.lit(1).cast("bigint").alias("number")
+    held = names.select(c("name").alias("base"), one).unionByName(numbered(names)).join(
+        bases.select("base"), "base", "left_semi")
+    # rivals: bases that another base would come to with a number, and are not taken anyway
+    rivals = numbered(bases.select(c("base").alias("name"), "since"), "name", "since").join(
+        bases.select("base"), "base", "left_semi").join(names, "name", "left_anti")
+    rivals = durable(rivals)
+    meet = not rivals.isEmpty()
+    ahead = rivals.select("name")  # rivals that come before the other base gets there
+    while True:
+        won = rivals.join(ahead, "name", "left_semi")
+        lost = rivals.join(ahead, "name", "left_anti")
+        blocked = held.unionByName(won.select("base", "number")).unionByName(lost.select(c("name").alias("base"), one))
+        given = free_numbers(rows, blocked if meet else held, order, ["base"], 1)
+        if not meet:
+            break
+        given = durable(given)
+        # the row that gets the number, or would have got it: numbers ascend with the rows
+        reached = rivals.join(given, "base").where(given["number"] >= rivals["number"]).groupBy("name").agg(F.min(order).alias("at"))
+        now = durable(
+            rivals.join(reached, "name", "left").where("at is null or since < at").select("name"))
+        if now.join(ahead, "name", "left_anti").isEmpty() and ahead.join(now, "name", "left_anti").isEmpty():
+            break
+        ahead = now
+    return given.select(
         order, "base",
-        F.when(F.col("number") == 1, F.col("base"))
-        .otherwise(F.concat("base", F.lit("_"), F.col("number").cast("string")))
-        .alias("key"),
+        F.when(c("number") == 1, c("base")).otherwise(F.concat("base", F.lit("_"), c("number").cast("string"))).alias("key"),
     )
 
 
@@ -124,7 +153,7 @@ def top_outline(toc: DataFrame) -> DataFrame:
     """Outline entries of the outermost level of each file, titles trimmed."""
     top = toc.groupBy("pdf").agg(F.min("level").alias("level"))
     return (
-        toc.join(top, ["pdf", "level"], "left_semi")
+        toc.join(small(top), ["pdf", "level"], "left_semi")
         .filter(F.col("page") > 0)
         .select("pdf", "ord", T.strip(F.col("title")).alias("title"), "page")
     )
@@ -162,7 +191,19 @@ def issues(outline: DataFrame, page_counts: DataFrame, settings: Settings = DEFA
     )
 
 
-def page_titles(spans: DataFrame) -> DataFrame:
+def tenths(size: str) -> Column:
+    """A size rounded to one digit by its binary value, ties to the even digit.
+
+    What is left above the whole number is exact, so it is compared with the
+    ten borders; at a border itself the binary value of that border decides.
+    """
+    rest = F.col(size) - F.floor(size)
+    borders = [k / 100 for k in range(5, 100, 10)]
+    passed = [((rest >= b) if round(b, 1) > b else (rest > b)).cast("int") for b in borders]
+    return (F.floor(size) * 10 + sum(passed[1:], passed[0])) / F.lit(10.0)
+
+
+def page_titles(spans: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``pdf, page, title``: the largest type on a page that reads like a title."""
     text = T.strip(F.col("text"))
     title = T.squeeze(
@@ -170,12 +211,12 @@ def page_titles(spans: DataFrame) -> DataFrame:
     )
     by_size = (
         spans.filter(text != "")
-        .groupBy("pdf", "page", F.bround("size", 1).alias("size"))
-        .agg(F.collect_list(F.struct(F.bround("y").alias("y"), F.bround("x").alias("x"), text.alias("text"))).alias("words"))
+        .groupBy("pdf", "page", tenths("size").alias("size"))
+        .agg(F.collect_list(F.struct(F.rint("y").alias("y"), F.rint("x").alias("x"), text.alias("text"))).alias("words"))
         .select("pdf", "page", "size", title.alias("title"))
     )
     good = (
-        F.length("title").between(12, 300)
+        F.length("title").between(settings.min_title, settings.max_title)
         & ~F.col("title").rlike(RUNNING_TITLE)
         & (T.letters(F.col("title")) >= 10)
     )
@@ -184,21 +225,22 @@ def page_titles(spans: DataFrame) -> DataFrame:
     )
 
 
-def folio_candidates(text: Column) -> Column:
-    """Distinct integers 1..30000 in the first four and last three inked lines."""
+def folio_candidates(text: Column, settings: Settings = DEFAULTS) -> Column:
+    """Distinct integers that may be folios in the first and last inked lines."""
+    head, foot, most = settings.folio_head, settings.folio_foot, settings.folio_most
 
     def numbers(lines: Column) -> Column:
-        # the last three may overlap the first four, as short pages do
+        # the last ones may overlap the first ones, as short pages do
         edge = F.concat(
-            F.slice(lines, 1, 4),
-            F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), F.lit(3)),
+            F.slice(lines, 1, head),
+            F.slice(lines, F.greatest(F.size(lines) - (foot - 1), F.lit(1)), F.lit(foot)),
         )
         found = F.flatten(
             F.transform(edge, lambda l: F.regexp_extract_all(l, F.lit(PRINTED_NUMBER), 1))
         )
         return F.filter(
             F.array_distinct(F.transform(found, lambda x: x.try_cast("int"))),
-            lambda v: v.between(1, 30000),
+            lambda v: v.between(1, most),
         )
 
     inked = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda l: l != "")
@@ -210,12 +252,11 @@ def page_offsets(spans: DataFrame, pages: DataFrame, settings: Settings = DEFAUL
 
     Votes of the first eight articles; equal counts go to the smaller offset.
     """
-    sample = spans.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("pdf").orderBy("nth"))
-    ).filter(F.col("_n") <= settings.offset_sample)
+    # spans are numbered without gaps; a few rows per file, so the pages' texts stay where they are
+    sample = spans.filter(F.col("nth") <= settings.offset_sample).select("pdf", F.col("lo").alias("page"))
     votes = (
-        pages.join(sample.select("pdf", F.col("lo").alias("page")), ["pdf", "page"])
-        .select("pdf", "page", F.explode(folio_candidates(F.col("text"))).alias("value"))
+        pages.join(small(sample), ["pdf", "page"])
+        .select("pdf", "page", F.explode(folio_candidates(F.col("text"), settings)).alias("value"))
         .select("pdf", (F.col("value") - F.col("page")).alias("offset"))
         .filter(F.col("offset").between(settings.offset_low, settings.offset_high))
         .groupBy("pdf", "offset")
@@ -303,7 +344,7 @@ def new_documents(
     stem = T.stem(F.col("path"))
     named = F.when(bulk | (F.coalesce("title", F.lit("")) == ""), T.title_of_stem(stem)).otherwise(F.col("title"))
     whole = new.filter(~F.col("is_issue")).select(
-        F.concat("path", F.lit("#00000")).alias("ref"), T.short_key(stem).alias("base"), "path",
+        F.concat(path_order("path"), F.lit("\x01")).alias("ref"), T.short_key(stem).alias("base"), "path",
         named.alias("title"), F.when(bulk, "issue").otherwise("article").alias("kind"),
         F.lit(None).cast("struct<lo:int,hi:int>").alias("pages"),
         F.lit(None).cast("int").alias("page_offset"),
@@ -313,7 +354,8 @@ def new_documents(
         new.filter("is_issue").select("path").join(articles, "path")
         .filter(keep_article(F.col("bookmark"), F.col("title"), F.col("lo"), F.col("hi"), settings))
         .select(
-            F.concat("path", F.lit("#"), F.lpad(F.col("nth").cast("string"), 5, "0")).alias("ref"),
+            # ten digits hold any int, so the order of the texts is that of the numbers
+            F.concat(path_order("path"), F.lit("\x01"), F.lpad(F.col("nth").cast("string"), 10, "0")).alias("ref"),
             article_key(F.col("path"), F.col("nth"), F.col("title")).alias("base"), "path", "title",
             F.lit("article").alias("kind"),
             F.struct(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi")).alias("pages"),

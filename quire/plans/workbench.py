@@ -58,7 +58,7 @@ def _wrapped(words: Column) -> Column:
         tail = _word(words, k * WRAP + WRAP)
         carried = _word(words, k * WRAP)
         return F.concat(
-            F.when((k > 0) & carried.rlike(SPLITTABLE), F.concat(F.substring(carried, 5, 999), F.lit(" ")))
+            F.when((k > 0) & carried.rlike(SPLITTABLE), F.concat(F.substr(carried, F.lit(5)), F.lit(" ")))
             .otherwise(""),
             F.when(
                 (k < lines - 1) & tail.rlike(SPLITTABLE),
@@ -75,7 +75,8 @@ def _heading(words: Column, i: Column, kind: Column) -> Column:
     title = F.concat(F.lit("Study "), F.array_join(F.slice(words, 1, 2), " "))
     block = F.floor(i / 5).cast("int")
     roman = F.get(F.array(*map(F.lit, ROMANS)), F.floor(i / 10).cast("int"))
-    paper = F.when(block % 2 == 0, F.concat(roman, F.lit(". "))).otherwise("A. ")
+    # past the numerals that headings are recognised by, all headings are lettered
+    paper = F.when((block % 2 == 0) & roman.isNotNull(), F.concat(roman, F.lit(". "))).otherwise("A. ")
     book = F.concat(F.lit("1."), (block + 1).cast("string"), F.lit(" "))
     return F.concat(F.when(kind == "article", paper).otherwise(book), title)
 

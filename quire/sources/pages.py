@@ -25,8 +25,11 @@ def scan_files(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFra
         .option("pathGlobFilter", suffix)
         .load(root)
     )
-    prefix = root.rstrip("/") + "/"
-    return files.select(F.element_at(F.split("path", prefix, 2), -1).alias("path"), "length")
+    # paths come back in full; what stands behind the root is kept, compared as plain text
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
+    behind = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1)))
+    return files.select(F.coalesce(behind, "path").alias("path"), "length")
 
 
 def read_with_pymupdf(path: str, lo: int | None, hi: int | None) -> Iterator[tuple[int, str]]:
