@@ -62,8 +62,10 @@ class Settings:
     catalog_cap: int = 80
     history_messages: int = 6
 
-    # a batch of queries is shipped to every task only up to this many rows
+    # queries scored at once against a batch of points, and queries shipped to every task at once
     query_block: int = 512
+    query_pass: int = 20_000
+    preview_characters: int = 600
 
     # broadcast sides are checked against this row count
     broadcast_rows: int = 200_000

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS, Settings
 from quire.functions import text as T
+from quire.functions.frames import durable, small
 from quire.functions.encoding import Encoder, HashingEncoder, vectors
 
 CANDIDATE_TYPE = "branch string, qid bigint, id bigint, score double"
@@ -56,29 +57,46 @@ class Best:
         self.ids = [np.empty(0, dtype=np.int64)] * queries
         self.floor = np.full(queries, -np.inf)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray, positive: bool) -> None:
+    def add(self, ids: np.ndarray, scores: np.ndarray, queries: np.ndarray) -> None:
         """``scores`` is points x queries; ties go to the smaller id."""
-        good = scores >= self.floor
-        if positive:
-            good &= scores > 0
-        for q in np.flatnonzero(good.any(axis=0)):
-            rows = np.flatnonzero(good[:, q])
-            s = np.concatenate([self.scores[q], scores[rows, q]])
-            i = np.concatenate([self.ids[q], ids[rows]])
-            if s.size > self.n:
-                order = np.lexsort((i, -s))[: self.n]
-                s, i = s[order], i[order]
-                self.floor[q] = s[-1]
-            self.scores[q], self.ids[q] = s, i
+        good = scores >= self.floor[queries]
+        for k in np.flatnonzero(good.any(axis=0)):
+            rows = np.flatnonzero(good[:, k])
+            self._keep(queries[k], ids[rows], scores[rows, k])
+
+    def add_pairs(self, ids: np.ndarray, queries: np.ndarray, scores: np.ndarray) -> None:
+        """Pairs in the order of their queries; only positive scores count."""
+        good = (scores > 0) & (scores >= self.floor[queries])
+        if not good.any():
+            return
+        ids, queries, scores = ids[good], queries[good], scores[good]
+        cuts = np.flatnonzero(np.diff(queries, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(queries)), strict=True):
+            self._keep(queries[a], ids[a:b], scores[a:b])
+
+    def _keep(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        s, i = np.concatenate([self.scores[q], scores]), np.concatenate([self.ids[q], ids])
+        if s.size > self.n:
+            order = np.lexsort((i, -s))[: self.n]
+            s, i = s[order], i[order]
+            self.floor[q] = s[-1]
+        self.scores[q], self.ids[q] = s, i
 
 
 class QueryBlock:
-    """Vectors of a bounded batch of queries, as arrays."""
+    """Vectors of a bounded batch of queries, as arrays.
+
+    A query without a dense vector, or with one of another length than the
+    first, takes no part in the dense branch.
+    """
 
     def __init__(self, rows: list):
         self.qids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        dense = [r["dense"] for r in rows]
-        self.dense = np.array(dense, dtype=np.float64) if all(d is not None for d in dense) else None
+        given = [(q, r["dense"]) for q, r in enumerate(rows) if r["dense"] and None not in r["dense"]]
+        self.dim = len(given[0][1]) if given else 0
+        given = [(q, d) for q, d in given if len(d) == self.dim]
+        self.asked = np.array([q for q, _ in given], dtype=np.int64)
+        self.dense = np.array([d for _, d in given], dtype=np.float64).reshape(len(given), self.dim)
         pairs = [
             (t, q, w)
             for q, r in enumerate(rows)
@@ -94,8 +112,8 @@ class QueryBlock:
         squares = np.outer((points**2).sum(axis=1), (self.dense**2).sum(axis=1))
         return np.divide(dot, np.sqrt(squares), out=np.zeros_like(dot), where=squares > 0)
 
-    def overlap(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """Sparse dot products from the points' postings (row, term, weight)."""
+    def overlap(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Point, query and dot product of the pairs that share a term, from postings (row, term, weight)."""
         lo = np.searchsorted(self.terms, terms, "left")
         count = np.searchsorted(self.terms, terms, "right") - lo
         hit = np.flatnonzero(count)
@@ -103,44 +121,57 @@ class QueryBlock:
         # position of every matching query posting, one entry per match
         first = np.repeat(np.cumsum(count) - count, count)
         at = np.arange(first.size) - first + np.repeat(lo, count)
-        key = np.repeat(rows[hit], count) * self.qids.size + self.owner[at]
-        value = np.repeat(weights[hit], count) * self.weight[at]
-        return np.bincount(key, value, minlength=n * self.qids.size).reshape(n, -1)
+        key = self.owner[at] * (rows.max() + 1 if len(rows) else 1) + np.repeat(rows[hit], count)
+        pair, where = np.unique(key, return_inverse=True)
+        total = np.bincount(where, np.repeat(weights[hit], count) * self.weight[at], minlength=len(pair))
+        query, row = np.divmod(pair, rows.max() + 1 if len(rows) else 1)
+        return row, query, total
+
 
+def _dense_rows(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and matrix of the vectors that are whole: not null, of the length asked for, all finite."""
+    sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()), -1)
+    at = np.flatnonzero(sizes == dim) if dim else np.zeros(0, np.int64)
+    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = flat.reshape(len(at), dim)
+    good = np.isfinite(matrix).all(axis=1)
+    return at[good], matrix[good]
 
-def _score_points(block, n: int, digits: int, dense: bool, sparse: bool) -> Callable:
+
+def _score_points(blocks, n: int, digits: int, dense: bool, sparse: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: QueryBlock = block.value
-        best = {b: Best(queries.qids.size, n) for b, on in (("dense", dense), ("sparse", sparse)) if on}
+        queries: list[QueryBlock] = blocks.value
+        on = [name for name, used in (("dense", dense), ("sparse", sparse)) if used]
+        best = [{b: Best(q.qids.size, n) for b in on} for q in queries]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            if dense:
-                flat = batch.column("dense").flatten().to_numpy(zero_copy_only=False)
-                scores = queries.cosine(flat.reshape(len(ids), -1).astype(np.float64))
-                best["dense"].add(ids, np.round(scores, digits), positive=False)
             if sparse:
                 lists = batch.column("terms")
-                sizes = np.diff(lists.offsets.to_numpy())
-                scores = queries.overlap(
-                    np.repeat(np.arange(len(ids)), sizes),
-                    lists.flatten().to_numpy(zero_copy_only=False),
-                    batch.column("weights").flatten().to_numpy(zero_copy_only=False).astype(np.float64),
-                    len(ids),
+                sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
+                rows = np.repeat(np.arange(len(ids)), sizes)
+                terms = lists.flatten().to_numpy(zero_copy_only=False)
+                weights = batch.column("weights").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            for q, top in zip(queries, best, strict=True):
+                if dense and q.dim:
+                    at, matrix = _dense_rows(batch.column("dense"), q.dim)
+                    top["dense"].add(ids[at], np.round(q.cosine(matrix), digits), q.asked)
+                if sparse:
+                    row, owner, total = q.overlap(rows, terms, weights)
+                    top["sparse"].add_pairs(ids[row], owner, np.round(total, digits))
+        for q, top in zip(queries, best, strict=True):
+            for branch, found in top.items():
+                sizes = [s.size for s in found.scores]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([branch] * sum(sizes), pa.string()),
+                        pa.array(np.repeat(q.qids, sizes), pa.int64()),
+                        pa.array(np.concatenate(found.ids), pa.int64()),
+                        pa.array(np.concatenate(found.scores), pa.float64()),
+                    ],
+                    names=["branch", "qid", "id", "score"],
                 )
-                best["sparse"].add(ids, np.round(scores, digits), positive=True)
-        for branch, top in best.items():
-            sizes = [s.size for s in top.scores]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([branch] * sum(sizes), pa.string()),
-                    pa.array(np.repeat(queries.qids, sizes), pa.int64()),
-                    pa.array(np.concatenate(top.ids), pa.int64()),
-                    pa.array(np.concatenate(top.scores), pa.float64()),
-                ],
-                names=["branch", "qid", "id", "score"],
-            )
 
     return run
 
@@ -163,10 +194,14 @@ def nearest(
 ) -> DataFrame:
     """``branch, qid, id, score, rank``: the ``n`` best points of each query and branch.
 
-    Exact. Query vectors are request-sized: up to ``query_block`` of them go to
-    the tasks at once, and a larger table is worked off in hash blocks of that
-    size, each with its own scan. Scores are rounded before ranking and ties go
+    Exact. Queries are encoded once and shipped to the tasks, which go through
+    them in blocks for every batch of points: one scan of the points, with the
+    shuffle depending on tasks and queries only. More than ``query_pass`` of them
+    take a further scan each time. Scores are rounded before ranking and ties go
     to the smaller id, so the order does not depend on the summation order.
+
+    Points and queries without a dense vector, or with one of another length
+    or with null or infinite parts, take no part in the dense branch.
     """
     spark = points.sparkSession
     columns = ["id"] + ["dense"] * dense + ["terms", "weights"] * sparse
@@ -176,21 +211,24 @@ def nearest(
         *((F.col("terms"), F.col("weights")) if sparse
           else (F.lit(None).alias("terms"), F.lit(None).alias("weights"))),
     )
-    first = wanted.limit(settings.query_block + 1).collect()
-    blocks = 1 if len(first) <= settings.query_block else -(-wanted.count() // settings.query_block)
-    shard = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    parts = []
-    for b in range(blocks):
-        rows = first if blocks == 1 else wanted.filter(shard == b).collect()
-        if rows:
-            shared = spark.sparkContext.broadcast(QueryBlock(rows))
-            score = _score_points(shared, n, digits, dense, sparse)
-            parts.append(points.select(*columns).mapInArrow(score, CANDIDATE_TYPE))
-    if not parts:
+    found = wanted.limit(settings.query_pass + 1).collect()
+    if len(found) > settings.query_pass:
+        wanted = durable(wanted)
+        passes = -(-wanted.count() // settings.query_pass)
+        shard = F.pmod(F.xxhash64("qid"), F.lit(passes))
+        groups = (wanted.filter(shard == p).collect() for p in range(passes))
+    else:
+        groups = iter([found])
+    merged = None
+    for rows in groups:
+        if not rows:
+            continue
+        size = settings.query_block
+        shared = spark.sparkContext.broadcast([QueryBlock(rows[i:i + size]) for i in range(0, len(rows), size)])
+        part = points.select(*columns).mapInArrow(_score_points(shared, n, digits, dense, sparse), CANDIDATE_TYPE)
+        merged = part if merged is None else merged.unionAll(part)
+    if merged is None:
         return spark.createDataFrame([], CANDIDATE_TYPE + ", rank int")
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionAll(part)
     order = Window.partitionBy("branch", "qid").orderBy(F.desc("score"), "id")
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
@@ -246,13 +284,13 @@ def search(
     """
     live = payload_filter(points, book, kind, source)
     texts = queries.select("qid", F.col("text").alias("query"))
-    # fused lists hold at most ``candidates`` narrow rows per query, so a batch of
-    # one block is known to be small and the points' texts are never shuffled
-    single = queries.limit(settings.query_block + 1).count() <= settings.query_block
-    hint = F.broadcast if single else (lambda df: df)
+    # fused lists hold at most ``candidates`` narrow rows per query, so their size
+    # is known beforehand; as long as it is bounded the points' texts stay where they are
+    most = settings.broadcast_rows // max(1, candidates)
+    hint = F.broadcast if queries.limit(most + 1).count() <= most else (lambda df: df)
     ranked = nearest(live, encode_queries(queries, encoder), candidates, settings=settings)
     fused = fuse(ranked, candidates if rerank_hits else k, settings)
-    hits = live.drop("dense", "terms", "weights").join(hint(fused), "id").join(hint(texts), "qid")
+    hits = live.drop("dense", "terms", "weights").join(hint(fused), "id").join(small(texts), "qid")
     if rerank_hits:
         hits = rerank(hits, k, scorer)
     return hits
@@ -286,8 +324,8 @@ def cite_row() -> Column:
     return cite(*map(F.col, ("book_title", "source", "section", "section_title", "page_start", "page_end")))
 
 
-def preview(text: Column, full: bool = False) -> Column:
-    """The text as a result list shows it: 600 characters on one line."""
+def preview(text: Column, full: bool = False, settings: Settings = DEFAULTS) -> Column:
+    """The text as a result list shows it: its beginning on one line."""
     if full:
         return text
-    return F.concat(F.replace(F.left(text, F.lit(600)), F.lit("\n"), F.lit(" ")), F.lit(" ..."))
+    return F.concat(F.replace(F.left(text, F.lit(settings.preview_characters)), F.lit("\n"), F.lit(" ")), F.lit(" ..."))

@@ -67,9 +67,10 @@ def ingest(
     # narrow: one row per changed document
     todo = durable(M.stale(signed, store.manifest(), force or recreate))
     if not todo.isEmpty():
-        books = todo.select(F.col("key").alias("book"))
-        fresh = embed(chunks.join(small(books), "book", "left_semi"), encoder=encoder)
-        store.replace(books, fresh, gone=books.join(todo.filter("chunks = 0").select(F.col("key").alias("book")), "book"))
+        books = todo.select(F.col("key").alias("book"), "slot")
+        fresh = embed(chunks.join(small(books.select("book")), "book", "left_semi"), encoder=encoder)
+        gone = todo.filter("chunks = 0").select(F.col("key").alias("book"), "slot")
+        store.replace(books, fresh, gone=gone, rows=todo.agg(F.sum("chunks")).first()[0])
         store.write_manifest(todo)
     return todo
 

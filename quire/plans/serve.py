@@ -17,7 +17,11 @@ from quire.sources.store import Store
 
 def search(store: Store, queries: DataFrame, **options) -> DataFrame:
     """Hits for ``qid, text`` rows; options as in :func:`retrieval.search`."""
-    return R.search(store.points(), queries, **options)
+    return R.search(_points(store, options.get("book")), queries, **options)
+
+
+def _points(store: Store, book: str | None) -> DataFrame:
+    return store.points_of(book) if book else store.points()
 
 
 def search_passages(
@@ -30,14 +34,14 @@ def search_passages(
         return queries.select("qid", F.lit(C.BAD_KIND).alias("rendered"))
     k, candidates = C.tool_limits(k, settings)
     hits = R.search(
-        store.points(), queries, k, candidates, book, rerank, source, kind, encoder, settings=settings
+        _points(store, book), queries, k, candidates, book, rerank, source, kind, encoder, settings=settings
     )
     return C.answer_queries(queries, C.render_hits(hits))
 
 
 def read_context(store: Store, anchors: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
     """``chunk_id, rendered`` for rows of ``chunk_id``."""
-    return C.render_context(C.context(store.points(), anchors, before, after), anchors)
+    return C.render_context(C.context(store.points_near(anchors), anchors, before, after), anchors)
 
 
 def list_books(store: Store, registry: DataFrame, source: str | None = None) -> DataFrame:

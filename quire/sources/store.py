@@ -1,16 +1,25 @@
 """The index on disk: points and manifest as Parquet tables in one folder.
 
-Points are partitioned by a hash of their book, so that replacing a few books
-rewrites only their shards, and sorted by id inside, so that a shard's row
-groups carry narrow id and book ranges. A large book fills several files.
+Points are partitioned by a hash of their document's slot, which is the high
+part of every id: replacing a few documents rewrites only their shards, and a
+read by document or by id names the shards it needs. Inside a shard rows are
+sorted by id, in files of a bounded number of rows.
+
+A table is replaced by writing a new version beside the old one and switching a
+pointer file, which the file system does in one step: a crash leaves the old
+version or the new one. The version before stays for readers under way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
+from quire.config import DEFAULTS
 from quire.functions.frames import small
 from quire.operators import maintenance as M
 
@@ -32,25 +41,75 @@ class Store:
 
     def _keep_layout(self) -> None:
         if not self.exists("layout"):
-            layout = self.spark.createDataFrame([(self.shards,)], "shards int")
-            layout.coalesce(1).write.parquet(f"{self.path}/layout")
+            self._swap("layout", self.spark.createDataFrame([(self.shards,)], "shards int").coalesce(1))
 
     def _fs(self, name: str):
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
+    def _version(self, name: str) -> str | None:
+        """The folder that holds the current version of a table."""
+        fs, where = self._fs(f"{name}.current")
+        if not fs.exists(where):
+            return None
+        stream = fs.open(where)
+        try:
+            return stream.readLine()
+        finally:
+            stream.close()
+
+    def _switch(self, name: str, folder: str) -> None:
+        """Make ``folder`` the current version, in one step; versions older than the last go."""
+        before = self._version(name)
+        fs, pointer = self._fs(f"{name}.current")
+        _, fresh = self._fs(f"{folder}.pointer")
+        stream = fs.create(fresh, True)
+        stream.writeBytes(folder + "\n")
+        stream.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            pointer.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, pointer, overwrite)
+        _, top = self._fs("")
+        for x in fs.listStatus(top):
+            if x.getPath().getName().startswith(f"{name}-") and x.getPath().getName() not in (folder, before):
+                fs.delete(x.getPath(), True)
+
     def exists(self, name: str) -> bool:
-        fs, where = self._fs(name)
-        return fs.exists(where)
+        return self._version(name) is not None
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        if not self.exists(name):
+        folder = self._version(name)
+        if folder is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+
+    def _sharded(self) -> DataFrame:
+        return self._read("points", schemas.POINTS + ", shard int")
+
+    def points(self, slots: Iterable[int] | None = None) -> DataFrame:
+        """All points, or those of the shards that hold the given slots."""
+        points = self._sharded()
+        if slots is not None:
+            points = points.filter(F.col("shard").isin(self._shards(slots)))
+        return points.drop("shard")
+
+    def _shards(self, slots: Iterable[int]) -> list[int]:
+        """The shards of slots; at most as many as there are."""
+        found = self.spark.createDataFrame([(int(s),) for s in set(slots)], "slot bigint")
+        return sorted({r[0] for r in found.select(self.shard_of(F.col("slot"))).collect()})
+
+    def points_of(self, book: str) -> DataFrame:
+        """Points of one document: its slot is looked up, and only its shard is read."""
+        return self.points([r["slot"] for r in self.manifest().filter(F.col("key") == book).select("slot").collect()])
 
-    def points(self) -> DataFrame:
-        return self._read("points", schemas.POINTS + ", shard int").drop("shard")
+    def points_near(self, ids: DataFrame, column: str = "chunk_id") -> DataFrame:
+        """Points of the documents that hold the given ids, from their shards only."""
+        slot = F.floor(F.col(column) / DEFAULTS.id_stride)
+        shards = [r[0] for r in ids.select(self.shard_of(slot)).distinct().collect()]  # one per shard at most
+        return self._sharded().filter(F.col("shard").isin(shards)).drop("shard")
 
     def manifest(self) -> DataFrame:
         return self._read("manifest", schemas.MANIFEST)
@@ -58,39 +117,57 @@ class Store:
     def count(self) -> int:
         return self.points().count()
 
-    def shard_of(self, book: str):
-        return F.pmod(F.xxhash64(book), F.lit(self.shards)).cast("int")
+    def shard_of(self, slot: Column) -> Column:
+        return F.pmod(F.xxhash64(slot.cast("bigint")), F.lit(self.shards)).cast("int")
 
-    def replace(self, books: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> None:
-        """Exchange every point of ``books`` (column ``book``) for ``fresh`` ones.
+    def _with_shard(self, points: DataFrame) -> DataFrame:
+        return points.withColumn("shard", self.shard_of(F.floor(F.col("id") / DEFAULTS.id_stride)))
 
-        ``gone`` names those of them that have no fresh points.
+    def _write(self, rows: DataFrame, n: int, folder: str, dynamic: bool) -> None:
+        """Rows with their shard, about ``n`` of them, a file or a few per shard.
 
-        Only the shards of those books are read and rewritten. The old files go
-        when the job commits, so a lost executor or a failed job loses nothing.
+        A shard's documents go to as many tasks as it needs files; a task
+        writes the files of its shards one after the other.
         """
-        books = books.select("book").distinct()
-        touched = [r[0] for r in books.select(self.shard_of("book")).distinct().collect()]
+        files = max(1, -(-n // (self.shards * ROWS_PER_FILE)))
+        writer = (
+            rows.withColumn("_part", F.pmod(F.floor(F.col("id") / DEFAULTS.id_stride), F.lit(files)))
+            .repartition("shard", "_part").sortWithinPartitions("shard", "id").drop("_part")
+            .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
+        )
+        if dynamic:
+            writer = writer.option("partitionOverwriteMode", "dynamic")
+        else:
+            writer = writer.option("partitionOverwriteMode", "static")
+        writer.partitionBy("shard").parquet(f"{self.path}/{folder}")
+
+    def replace(
+        self, documents: DataFrame, fresh: DataFrame, gone: DataFrame | None = None, rows: int | None = None,
+    ) -> None:
+        """Exchange every point of ``documents`` (``book, slot``) for ``fresh`` ones.
+
+        ``gone`` names those of them that have no fresh points, ``rows`` says
+        how many fresh ones there are. Only the shards of the documents, old
+        and new, are read and rewritten. The old files go when the job commits,
+        so a lost executor or a failed job loses nothing.
+        """
+        books = documents.select("book").distinct()
+        slots = documents.select(F.col("slot").alias("slot")).unionByName(
+            self.manifest().join(small(books.select(F.col("book").alias("key"))), "key", "left_semi").select("slot"))
+        touched = [r[0] for r in slots.select(self.shard_of(F.col("slot"))).distinct().collect()]
         if not touched:
             return
         self._keep_layout()
-        rest = (
-            self._read("points", schemas.POINTS + ", shard int")
-            .filter(F.col("shard").isin(touched))
-            .join(small(books), "book", "left_anti")
-        )
-        rows = rest.unionByName(fresh.withColumn("shard", self.shard_of("book")))
-        (
-            rows.withColumn("_file", F.floor(F.col("id") / ROWS_PER_FILE))
-            .repartition("shard", "_file")
-            .sortWithinPartitions("shard", "id")
-            .drop("_file")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("shard")
-            .parquet(f"{self.path}/points")
-        )
-        if gone is not None and self.exists("points"):
+        rest = self._sharded().filter(F.col("shard").isin(touched)).join(small(books), "book", "left_anti")
+        n = (fresh.count() if rows is None else rows) + rest.select("id").count()
+        folder = self._version("points")
+        new = folder is None
+        folder = folder or f"points-{uuid.uuid4().hex}"
+        # the estimate is for the touched shards only
+        self._write(rest.unionByName(self._with_shard(fresh)), -(-n * self.shards // len(touched)), folder, dynamic=True)
+        if new:
+            self._switch("points", folder)
+        if gone is not None:
             self._drop_emptied(gone)
 
     def _drop_emptied(self, books: DataFrame) -> None:
@@ -99,9 +176,9 @@ class Store:
         An overwrite by partition does not touch a partition it writes no row
         to, so these are the shards that held nothing else.
         """
-        left = self._read("points", schemas.POINTS + ", shard int").join(small(books), "book", "left_semi")
+        left = self._sharded().join(small(books.select("book").distinct()), "book", "left_semi")
         for row in left.select("shard").distinct().collect():
-            fs, where = self._fs(f"points/shard={row['shard']}")
+            fs, where = self._fs(f"{self._version('points')}/shard={row['shard']}")
             fs.delete(where, True)
 
     def write_manifest(self, rows: DataFrame) -> None:
@@ -109,41 +186,36 @@ class Store:
         self._swap("manifest", M.upsert(self.manifest(), rows.select(*self.manifest().columns), ["slot"]))
 
     def _swap(self, name: str, rows: DataFrame) -> None:
-        """Write a table beside the old one, then put it in its place."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}.next")
-        fs, old = self._fs(name)
-        _, new = self._fs(f"{name}.next")
-        fs.delete(old, True)
-        fs.rename(new, old)
+        """Write a new version of a table and switch to it."""
+        folder = f"{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{folder}")
+        self._switch(name, folder)
 
     def remove(self, keys: DataFrame) -> None:
         """Delete the points and manifest rows of documents (column ``key``)."""
-        books = keys.select(F.col("key").alias("book")).distinct().cache()
+        books = self.manifest().join(keys.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("book"), "slot")
         if self.exists("points"):
-            self.replace(books, self.points().limit(0), gone=books)
+            self.replace(books, self.points().limit(0), gone=books, rows=0)
         if self.exists("manifest"):
             self._swap("manifest", M.remove_documents(self.manifest(), keys, "key"))
 
     def drop(self) -> None:
         """Forget everything, for a build from scratch."""
         for name in ("points", "manifest", "layout"):
-            fs, where = self._fs(name)
-            fs.delete(where, True)
+            fs, pointer = self._fs(f"{name}.current")
+            folder = self._version(name)
+            fs.delete(pointer, False)
+            if folder:
+                fs.delete(self._fs(folder)[1], True)
 
     def copy_to(self, other: Store) -> tuple[int, int]:
         """Copy all points and manifest rows; safe to repeat. Gives both counts."""
         points, manifest = self.points(), self.manifest()
+        n = points.count()
         if self.exists("points"):
             other._keep_layout()
-            merged = M.copy_into(points, other.points()).withColumn("shard", other.shard_of("book"))
-            merged.withColumn("_file", F.floor(F.col("id") / ROWS_PER_FILE)).repartition(
-                "shard", "_file"
-            ).sortWithinPartitions("shard", "id").drop("_file").write.mode("overwrite").partitionBy(
-                "shard"
-            ).parquet(f"{other.path}/points.next")
-            fs, old = other._fs("points")
-            _, new = other._fs("points.next")
-            fs.delete(old, True)
-            fs.rename(new, old)
+            folder = f"points-{uuid.uuid4().hex}"
+            other._write(other._with_shard(M.copy_into(points, other.points())), n + other.count(), folder, dynamic=False)
+            other._switch("points", folder)
         other.write_manifest(manifest)
-        return points.count(), manifest.count()
+        return n, manifest.count()

@@ -121,3 +121,37 @@ def test_context(spark):
     texts = {r["chunk_id"]: r["rendered"] for r in C.render_context(C.context(points, anchors), anchors).collect()}
     assert texts[77] == "No chunk with id 77."
     assert texts[1] == "[chunk 0] T | s | p.1\nx\n\n---\n\n[chunk 1] <- requested T | s | p.1\nx"
+
+
+def test_vectors_that_are_not_whole(spark, points, passages, queries):
+    """Null, short and infinite vectors leave the dense branch and nothing else."""
+    asked = spark.createDataFrame(queries, "qid bigint, text string")
+    vectors = R.encode_queries(asked)
+    odd = points.limit(4).withColumn("id", F.col("id") + 100_000).withColumn(
+        "dense", F.expr("case when id % 3 = 0 then null when id % 3 = 1 then array(1f) else transform(dense, x -> cast('inf' as float)) end"))
+    odd = odd.withColumn("terms", F.when(F.col("id") % 2 == 0, F.col("terms"))).withColumn("weights", F.when(F.col("id") % 2 == 0, F.col("weights")))
+    mixed = points.unionByName(odd).coalesce(1)
+    first = min(q for q, _ in queries)
+    asks = vectors.withColumn("dense", F.when(F.col("qid") != first, F.col("dense")))
+    got = {k: v for k, v in found(R.nearest(mixed, asks, 20)).items() if k[0] == "dense"}
+    assert got == {k: v for k, v in brute(passages, queries, 20).items() if k[0] == "dense" and k[1] != first}
+    assert {k for k in found(R.nearest(mixed, asks, 20)) if k[1] == first and k[0] == "sparse"}
+
+
+def test_two_thousand_queries_scan_once_and_leave_the_texts(spark, tmp_path, points):
+    points.withColumn("text", F.repeat("text", 3)).write.parquet(str(tmp_path / "p"))
+    table = spark.read.parquet(str(tmp_path / "p"))
+    asked = spark.range(2000).select(F.col("id").alias("qid"), F.concat(F.lit("alpha beta "), F.col("id").cast("string")).alias("text"))
+    hits = R.search(table, asked, rerank_hits=False)
+    assert hits.groupBy("qid").count().count() == 2000
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    scans = [line for line in plan.split("\n") if "FileScan" in line or "Scan parquet" in line]
+    assert len(scans) == 2  # one for the vectors, one for the payload
+    joined = plan[:plan.index("FileScan") if "FileScan" in plan else len(plan)]
+    assert "SortMergeJoin" not in joined and "ShuffledHashJoin" not in joined
+
+
+def test_more_passes_give_the_same(spark, points, passages, queries):
+    asked = spark.createDataFrame(queries, "qid bigint, text string")
+    few = replace(DEFAULTS, query_block=2, query_pass=3)
+    assert found(R.nearest(points, R.encode_queries(asked), 7, settings=few)) == brute(passages, queries, 7)
