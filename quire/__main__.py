@@ -1,29 +1,37 @@
 """Command line.
 
+    python -m quire scan    --registry corpus.json --files original/
+    python -m quire extract --registry corpus.json --files original/ --texts extracted/
     python -m quire build   --registry corpus.json --texts extracted/ --index index/
     python -m quire search  --index index/ "what causes far-end crosstalk?" -k 5 --kind book
     python -m quire context --index index/ 1048577 --before 1 --after 1
     python -m quire books   --index index/ --registry corpus.json [--source 2024]
     python -m quire status  --index index/ --registry corpus.json --files original/
-    python -m quire remove  --index index/ KEY
+    python -m quire remove  --index index/ --registry corpus.json KEY [--purge --files original/ --texts extracted/]
     python -m quire migrate --index index/ --to other/
 """
 
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import schemas
 from quire.config import DEFAULTS
+from quire.functions.frames import durable
 from quire.operators import catalog as C
+from quire.operators.maintenance import purgeable
 from quire.operators.retrieval import cite_row, preview
 from quire.plans import serve
 from quire.plans.build import build
+from quire.plans.extract import extract
+from quire.plans.register import register
 from quire.session import session
-from quire.sources.pages import read_marked_text, scan_files
-from quire.sources.registry_file import read_registry, read_settings
+from quire.sources.pages import ENGINES, delete_files, read_marked_text, remove_marked_text, scan_files, write_marked_text
+from quire.sources.registry_file import read_registry, read_settings, write_registry_file
 from quire.sources.store import Store
 
 
@@ -31,14 +39,22 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quire", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = top.add_subparsers(dest="command", required=True)
 
-    def command(name: str, *options: str) -> argparse.ArgumentParser:
+    def command(name: str, *options: str, index: bool = True) -> argparse.ArgumentParser:
         sub = commands.add_parser(name)
-        sub.add_argument("--index", required=True)
+        if index:
+            sub.add_argument("--index", required=True)
         for option in options:
             sub.add_argument(option, required=True)
         return sub
 
+    p = command("scan", "--registry", "--files", index=False)
+    p.add_argument("--engine", choices=sorted(ENGINES), default="pymupdf")
+    p = command("extract", "--registry", "--files", "--texts", index=False)
+    p.add_argument("--engine", choices=sorted(ENGINES), default="pymupdf")
+    p.add_argument("--only", nargs="*")
+    p.add_argument("--force", action="store_true")
     p = command("build", "--registry", "--texts")
+    p.add_argument("--text-files", action="store_true", help="texts are single files, named by the registry")
     p.add_argument("--only", nargs="*")
     p.add_argument("--force", action="store_true")
     p.add_argument("--recreate", action="store_true")
@@ -59,11 +75,31 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--after", type=int, default=1)
     command("books", "--registry").add_argument("--source")
     command("status", "--registry", "--files")
-    command("remove").add_argument("key", nargs="+")
+    p = command("remove", "--registry")
+    p.add_argument("key", nargs="+")
+    p.add_argument("--purge", action="store_true", help="delete its file and text as well")
+    p.add_argument("--files")
+    p.add_argument("--texts")
     command("migrate", "--to")
     return top
 
 
+def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Registers files, or extracts the registered ones."""
+    registry = durable(read_registry(spark, args.registry)) if Path(args.registry).exists() else spark.createDataFrame([], schemas.REGISTRY)
+    if args.command == "scan":
+        after, report = register(scan_files(spark, args.files), args.files, registry, args.engine, read_settings(args.registry))
+    else:
+        texts = read_marked_text(spark, args.texts) if Path(args.texts).exists() else spark.createDataFrame([], "key string, text string")
+        fresh, report, after = extract(registry, texts, args.files, args.engine, args.only, args.force)
+        fresh = durable(fresh)
+        if Path(args.texts).exists():
+            remove_marked_text(spark, args.texts, fresh)
+        write_marked_text(fresh, args.texts, "append")
+    show(report.orderBy(report.columns[0]))
+    write_registry_file(after, args.registry)
+
+
 def show(table: DataFrame) -> int:
     """Prints every row, a partition at a time; gives their number."""
     print("  ".join(table.columns))
@@ -77,10 +113,13 @@ def show(table: DataFrame) -> int:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = session()
+    if args.command in ("scan", "extract"):
+        return prepare(spark, args)
     store = Store(spark, args.index, getattr(args, "shards", 256))
     if args.command == "build":
-        texts = read_marked_text(spark, args.texts)
-        found = read_registry(spark, args.registry).join(texts, "key", "left")
+        registry = read_registry(spark, args.registry)
+        texts = read_marked_text(spark, args.texts, registry if args.text_files else None)
+        found = registry.drop("text").join(texts, "key", "left")
         for r in found.filter("text is null").select("key").orderBy("key").toLocalIterator():
             print(f"{r['key']}: MISSING, no text")
         loaded = build(
@@ -111,8 +150,20 @@ def main(argv: list[str] | None = None) -> None:
             print(name)
             show(table.orderBy(*table.columns[:1]))
     elif args.command == "remove":
-        store.remove(spark.createDataFrame([(k,) for k in args.key], "key string"))
+        registry, keys = durable(read_registry(spark, args.registry)), spark.createDataFrame([(k,) for k in args.key], "key string")
+        unknown = keys.join(registry, "key", "left_anti").collect()
+        if unknown:
+            raise SystemExit(f"no document {', '.join(r['key'] for r in unknown)} in the registry")
+        store.remove(keys)
+        if args.purge:
+            if args.files:
+                delete_files(purgeable(registry, keys).select(F.col("pdf").alias("path")), args.files)
+            if args.texts:
+                remove_marked_text(spark, args.texts, keys)
+        write_registry_file(registry.join(keys, "key", "left_anti"), args.registry)
         print(f"removed {', '.join(args.key)}; {store.count()} points left")
+        if not args.purge:
+            print("a scan registers the file again unless it is deleted too (--purge)")
     elif args.command == "migrate":
         points, manifest = store.copy_to(Store(spark, args.to))
         print(f"copied {points} points and {manifest} manifest entries")

@@ -4,7 +4,7 @@ RANGE = "struct<lo:int,hi:int>"
 
 REGISTRY = (
     f"key string, pdf string, title string, kind string, source string, slot bigint, pages {RANGE}, "
-    f"page_offset int, skip_pages array<{RANGE}>, body_end_page int, auto array<string>, pdf_hash string, "
+    f"page_offset int, skip_pages array<{RANGE}>, body_end_page int, auto array<string>, text string, pdf_hash string, "
     "text_hash string, clean_sig string, chunk_sig string, chunks bigint"
 )
 CHUNKS = (

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import shutil
 import subprocess
+import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, contextmanager
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +15,10 @@ from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions import text as T
+from quire.functions.frames import durable, small
 from quire.operators import pages as P
 
-PageReader = Callable[[str, int | None, int | None], Iterator[tuple[int, str]]]
-
-
-def scan_files(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFrame:
-    """``path, length`` of the files below ``root``; contents are not read."""
+def _listing(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -29,55 +29,161 @@ def scan_files(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFra
     where = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
     behind = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1)))
-    return files.select(F.coalesce(behind, "path").alias("path"), "length")
+    return files.withColumn("path", F.coalesce(behind, "path"))
+
+
+def scan_files(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFrame:
+    """``path, length`` of the files below ``root``; contents are not read."""
+    return _listing(spark, root, suffix).select("path", "length")
+
+
+class OpenFile(Protocol):
+    """A file an engine has opened: pages from 1, the outline, and the type on a page."""
+
+    page_count: int
+
+    def text(self, page: int) -> str: ...
 
+    def toc(self) -> list[tuple[int, str, int]]:
+        """``(level, title, page)`` of the outline, empty if there is none."""
+        ...
 
-def read_with_pymupdf(path: str, lo: int | None, hi: int | None) -> Iterator[tuple[int, str]]:
+    def spans(self, page: int) -> list[tuple[float, float, float, str]]:
+        """``(size, x, y, text)`` of the pieces of type on a page, empty if unknown."""
+        ...
+
+
+Engine = Callable[[bytes], AbstractContextManager]
+
+
+@contextmanager
+def open_with_pymupdf(data: bytes) -> Iterator[OpenFile]:
     import pymupdf
 
-    with pymupdf.open(path) as doc:
-        for n in range(max(1, lo or 1), min(hi or doc.page_count, doc.page_count) + 1):
-            yield n, doc[n - 1].get_text("text")
+    class Opened:
+        def __init__(self, doc) -> None:
+            self.doc, self.page_count = doc, doc.page_count
+
+        def text(self, page: int) -> str:
+            return self.doc[page - 1].get_text("text")
+
+        def toc(self) -> list[tuple[int, str, int]]:
+            return [tuple(x[:3]) for x in self.doc.get_toc()]
 
+        def spans(self, page: int) -> list[tuple[float, float, float, str]]:
+            blocks = self.doc[page - 1].get_text("dict")["blocks"]
+            return [
+                (s["size"], *s["origin"], s["text"])
+                for b in blocks for line in b.get("lines", []) for s in line["spans"]
+            ]
 
-def read_with_pdftotext(path: str, lo: int | None, hi: int | None) -> Iterator[tuple[int, str]]:
+    with pymupdf.open(stream=data, filetype="pdf") as doc:
+        yield Opened(doc)
+
+
+@contextmanager
+def open_with_pdftotext(data: bytes) -> Iterator[OpenFile]:
+    """Text only; the file is written to the task's own folder for the program to read."""
     if not shutil.which("pdftotext"):
         raise RuntimeError("pdftotext is not on PATH")
-    span = ["-f", str(lo), "-l", str(hi)] if lo and hi else []
-    done = subprocess.run(["pdftotext", "-layout", *span, path, "-"], check=True, capture_output=True)
-    yield from enumerate(done.stdout.decode("utf-8", "replace").split("\f"), lo or 1)
+    with tempfile.NamedTemporaryFile(suffix=".pdf") as f:
+        f.write(data)
+        f.flush()
+        done = subprocess.run(["pdftotext", "-layout", f.name, "-"], check=True, capture_output=True)
+    pages = done.stdout.decode("utf-8", "replace").removesuffix("\f").split("\f")
+
+    class Opened:
+        page_count = len(pages)
+
+        def text(self, page: int) -> str:
+            return pages[page - 1]
+
+        def toc(self) -> list:
+            return []
+
+        def spans(self, page: int) -> list:
+            return []
 
+    yield Opened()
 
-ENGINES: dict[str, PageReader] = {"pymupdf": read_with_pymupdf, "pdftotext": read_with_pdftotext}
 
+ENGINES: dict[str, Engine] = {"pymupdf": open_with_pymupdf, "pdftotext": open_with_pdftotext}
+STRUCTURE = (
+    "path string, page_count int, toc array<struct<ord:int,level:int,title:string,page:int>>, "
+    "heads array<struct<page:int,text:string,spans:array<struct<size:double,x:double,y:double,text:string>>>>, error string"
+)
 
-def read_pages(files: DataFrame, root: str, engine: str | PageReader = "pymupdf") -> DataFrame:
-    """``pdf, page, text, error`` for rows of ``path[, lo, hi]``.
 
-    Files are opened by the tasks, page by page. A file that cannot be read
-    gives one row with the error instead of ending the job.
+def _contents(files: DataFrame, root: str) -> DataFrame:
+    """``path`` and the bytes of the wanted files, read by Spark: any file system it knows will do.
+
+    The list of files is matched against the listing of the folder, so only
+    wanted files are opened.
     """
-    reader = ENGINES[engine] if isinstance(engine, str) else engine
+    spark = files.sparkSession
+    listed = _listing(spark, root, "*")
+    return listed.join(small(files.select("path").distinct()), "path", "left_semi").select("path", "content")
+
+
+def _per_file(engine: str | Engine, found: Callable, columns: list[str], schema: str) -> Callable[[DataFrame], DataFrame]:
+    opened = ENGINES[engine] if isinstance(engine, str) else engine
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["pdf", "page", "text", "error"]
         for batch in batches:
-            for row in batch.itertuples():
-                lo, hi = getattr(row, "lo", None), getattr(row, "hi", None)
-                span = (None, None) if lo is None or pd.isna(lo) else (int(lo), int(hi))
+            for row in batch.itertuples(index=False):
                 rows: list[tuple] = []
                 try:
-                    for n, text in reader(f"{root.rstrip('/')}/{row.path}", *span):
-                        rows.append((row.path, n, text, None))
-                        if len(rows) == 64:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows = []
+                    with opened(row.content) as file:
+                        for x in found(file, row):
+                            rows.append((row.path, *x, None))
+                            if len(rows) == 64:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows = []
                 except Exception as exc:  # noqa: BLE001 - reported per file
-                    rows.append((row.path, None, None, f"{type(exc).__name__}: {exc}"))
+                    rows.append((row.path, *[None] * (len(columns) - 2), f"{type(exc).__name__}: {exc}"))
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
-    return files.mapInPandas(run, schemas.PAGES + ", error string")
+    return lambda df: df.mapInPandas(run, schema)
+
+
+def read_structure(files: DataFrame, root: str, engine: str | Engine = "pymupdf") -> DataFrame:
+    """``path, page_count, toc, heads, error`` of files, each opened once.
+
+    ``heads`` has text and type of page one and of the pages that the outline
+    points to at its top level: what titles and folios are found in.
+    """
+
+    def found(file: OpenFile, _) -> Iterator[tuple]:
+        toc = [(i, level, title, page) for i, (level, title, page) in enumerate(file.toc())]
+        top = min((x[1] for x in toc), default=0)
+        pages = sorted({1} | {p for _, level, _, p in toc if level == top and p and 0 < p <= file.page_count})
+        heads = [(p, file.text(p), file.spans(p)) for p in pages if p <= file.page_count]
+        yield file.page_count, toc, heads
+
+    return _per_file(engine, found, ["path", "page_count", "toc", "heads", "error"], STRUCTURE)(_contents(files, root))
+
+
+def read_pages(files: DataFrame, root: str, engine: str | Engine = "pymupdf") -> DataFrame:
+    """``pdf, page, text, error`` for rows of ``path[, wanted]``, each file opened once.
+
+    ``wanted`` is an array of page ranges ``lo, hi``; without it all pages are
+    read. A file that cannot be read gives one row with the error instead of
+    ending the job.
+    """
+    contents = _contents(files, root)
+    if "wanted" in files.columns:
+        contents = contents.join(small(files.select("path", "wanted")), "path")
+
+    def found(file: OpenFile, row) -> Iterator[tuple]:
+        ranges = getattr(row, "wanted", None)
+        pages = range(1, file.page_count + 1)
+        if ranges is not None:
+            pages = sorted({p for r in ranges for p in range(max(1, r["lo"]), min(r["hi"], file.page_count) + 1)})
+        for p in pages:
+            yield p, file.text(p)
+
+    return _per_file(engine, found, ["pdf", "page", "text", "error"], schemas.PAGES + ", error string")(contents)
 
 
 def formfeed_pages(texts: DataFrame) -> DataFrame:
@@ -107,15 +213,46 @@ def assemble(documents: DataFrame, pages: DataFrame, engine: str = "pymupdf") ->
     )
 
 
-def write_marked_text(texts: DataFrame, path: str) -> None:
-    """One folder per key with the text in it, as ``read_marked_text`` reads back."""
-    texts.select("key", F.col("text").alias("value")).write.mode("overwrite").partitionBy("key").option(
-        "lineSep", "\x00"
-    ).text(path)
+def write_marked_text(texts: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``key, text`` as one Parquet table, whatever the number of documents."""
+    texts.select("key", "text").write.mode(mode).parquet(path)
 
 
-def read_marked_text(spark: SparkSession, path: str) -> DataFrame:
-    """``key, text`` of marked texts below ``path``."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("key").cast("string"), F.regexp_replace("value", "\x00$", "").alias("text")
-    )
+def read_marked_text(spark: SparkSession, path: str, registry: DataFrame | None = None) -> DataFrame:
+    """``key, text`` of the table at ``path``.
+
+    With a registry, ``path`` is a folder of text files, and the registry's
+    ``text`` field (by default the key with ``.txt``) says whose each one is.
+    """
+    if registry is None:
+        return spark.read.schema("key string, text string").parquet(path)
+    name = F.coalesce(F.col("text"), F.concat("key", F.lit(".txt"))).alias("path")
+    files = _listing(spark, path, "*").select("path", F.col("content").cast("string").alias("text"))
+    return files.join(small(registry.select("key", name)), "path").select("key", "text")
+
+
+def remove_marked_text(spark: SparkSession, path: str, keys: DataFrame) -> None:
+    """Takes documents (column ``key``) out of the table at ``path``.
+
+    Only files that hold one of them are rewritten. The rest of their rows is
+    written before they go, so that a crash loses nothing; run it again then.
+    """
+    gone = small(keys.select("key").distinct())
+    table = read_marked_text(spark, path)
+    held = [r[0] for r in table.join(gone, "key", "left_semi").select(F.input_file_name()).distinct().collect()]
+    if not held:
+        return
+    rest = durable(spark.read.schema("key string, text string").parquet(*held).join(gone, "key", "left_anti"))
+    rest.write.mode("append").parquet(path)
+    for file in held:
+        where = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+
+
+def delete_files(files: DataFrame, root: str) -> int:
+    """Deletes the files ``path`` below ``root``, as a purge asks for; gives their number."""
+    spark, n = files.sparkSession, 0
+    for row in files.select("path").toLocalIterator():
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{row['path']}")
+        n += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False))
+    return n

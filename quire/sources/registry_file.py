@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 from dataclasses import replace
 from pathlib import Path
 
@@ -43,11 +45,33 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("source"), "slot",
         F.when(F.size("pages") == 2, span(c("pages"))).alias("pages"), "page_offset",
         F.coalesce(F.transform("skip_pages", span), F.array().cast(f"array<{schemas.RANGE}>")).alias("skip_pages"),
-        "body_end_page", F.coalesce("auto", F.array().cast("array<string>")).alias("auto"),
+        "body_end_page", F.coalesce("auto", F.array().cast("array<string>")).alias("auto"), "text",
         "pdf_hash", "text_hash", "clean_sig", "chunk_sig", "chunks",
     )
 
 
+def write_registry_file(registry: DataFrame, path: str) -> None:
+    """The registry as one JSON object, row by row; what else the object sets is kept.
+
+    The new file takes the place of the old one when it is complete.
+    """
+    file = Path(path)
+    other = json.loads(file.read_text(encoding="utf-8")) if file.exists() else {}
+    other.pop("documents", None)
+    pair = lambda r: None if r is None else [r["lo"], r["hi"]]
+    with tempfile.NamedTemporaryFile("w", dir=file.parent, encoding="utf-8", delete=False) as out:
+        head = json.dumps(other, ensure_ascii=False, indent=2)
+        out.write(head[:-1].rstrip() + ("," if other else "") + '\n"documents": {')
+        for n, row in enumerate(registry.orderBy("slot").toLocalIterator()):
+            entry = {k: v for k, v in row.asDict().items() if k != "key" and (v is not None or k == "body_end_page")}
+            if "pages" in entry:
+                entry["pages"] = pair(entry["pages"])
+            entry["skip_pages"] = [pair(r) for r in entry.get("skip_pages") or []]
+            out.write(("," if n else "") + f"\n{json.dumps(row['key'], ensure_ascii=False)}: {json.dumps(entry, ensure_ascii=False)}")
+        out.write("\n}\n}\n")
+    os.replace(out.name, file)
+
+
 def write_registry(registry: DataFrame, path: str) -> None:
     """One JSON line per document, which a registry of any size can be kept in."""
     registry.write.mode("overwrite").json(path)

@@ -16,6 +16,39 @@ from quire.streaming.ingest import ingest_arrivals
 PROSE = "Waves on a line travel with a speed that the medium around the conductors decides for them. "
 
 
+class FakeEngine:
+    """Files of pages parted by form feeds; 'bad' cannot be opened.
+
+    A page may begin with 'TITLE size: words' lines; the first page may hold
+    'TOC level page: title' lines.
+    """
+
+    def __init__(self, data):
+        self.pages = data.decode().split("\f")
+        if self.pages == ["bad"]:
+            raise ValueError("broken")
+        self.page_count = len(self.pages)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return None
+
+    def text(self, page):
+        return self.pages[page - 1]
+
+    def _marked(self, page, word):
+        return [x.removeprefix(word + " ") for x in self.pages[page - 1].split("\n") if x.startswith(word + " ")]
+
+    def toc(self):
+        entries = [x.split(": ", 1) for x in self._marked(1, "TOC")]
+        return [(int(h.split()[0]), t, int(h.split()[1])) for h, t in entries]
+
+    def spans(self, page):
+        return [(float(h), 0.0, float(i), t) for i, (h, t) in enumerate(x.split(": ", 1) for x in self._marked(page, "TITLE"))]
+
+
 def text(sections: int, paragraphs: int, word: str) -> str:
     out = ["[PAGE 1]"]
     for s in range(sections):
@@ -157,17 +190,10 @@ def test_page_readers(spark, tmp_path):
     for name, body in [("j/2024/a.pdf", "one\ftwo\fthree"), ("j/b.pdf", "bad"), ("j/c.txt", "no")]:
         (tmp_path / name).write_text(body)
 
-    def reader(path, lo, hi):
-        body = open(path).read()
-        if body == "bad":
-            raise ValueError("broken")
-        for n, page in enumerate(body.split("\f"), 1):
-            if lo is None or lo <= n <= hi:
-                yield n, page
-
+    files_opened = FakeEngine
     files = pages.scan_files(spark, str(tmp_path))
     assert sorted(r["path"] for r in files.collect()) == ["j/2024/a.pdf", "j/b.pdf"]
-    read = pages.read_pages(files.select("path"), str(tmp_path), reader)
+    read = pages.read_pages(files.select("path"), str(tmp_path), files_opened)
     got = {(r["pdf"], r["page"], r["text"], r["error"]) for r in read.collect()}
     assert got == {
         ("j/2024/a.pdf", 1, "one", None), ("j/2024/a.pdf", 2, "two", None), ("j/2024/a.pdf", 3, "three", None),
