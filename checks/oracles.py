@@ -179,7 +179,16 @@ with t as (
 select doc_id, kind from t where kind = 'book' or (len(ws) > 0
   and len(list_filter(ws, lambda w: regexp_matches(w, '\p{{Lu}}') and not regexp_matches(w, '[\p{{Ll}}\p{{Lt}}]')))::double / len(ws) <= 0.6)"""
 
-ORACLES["bad_records"] = "select event_type = 'click' as failed, count(*) as n from events group by 1"
+ORACLES["bad_records"] = """
+select event_id, case when event_type = 'click' then 'ValueError: not a JSON object: ' || left(props, length(props) - 1) else '' end as error,
+  case when event_type = 'click' then -1 else len(json_keys(props))::int end as fields from events"""
+
+ORACLES["only_documents"] = "select doc_id, source as key from documents where source = 'src1' or source = 'src7'"
+
+ORACLES["clean_signature"] = r"""
+select doc_id, md5(text) || '|' || case when lang = 'fr' then '[]' else '[{"lo":1,"hi":' || (doc_id % 9) || '}]' end || '|'
+  || case when lang = 'de' then (n_chars % 100)::varchar else 'None' end || '|' || md5('Downloaded from https://onlinelibrary\.wiley\.com') as signature
+from documents"""
 
 ORACLES["contents_pages"] = text("pages", "select slot, page, coalesce(contents_like, false) as contents_like from judged")
 ORACLES["index_pages"] = text("pages", "select slot, page, coalesce(index_like, false) as index_like from judged")

@@ -262,12 +262,28 @@ def shouty_prune(spark, d):
 
 @query
 def bad_records(spark, d):
-    """Event payloads that do not parse as JSON objects with a number."""
+    """Event payloads, some cut short: each with what is wrong with it."""
     from quire.sources.chunk_lines import parse_permissive
 
     events = B.table(spark, d, "events").select(
         "event_id", F.when(c("event_type") == "click", F.left("props", F.length("props") - 1)).otherwise(c("props")).alias("line"))
-    return parse_permissive(events, "line").groupBy(c("error").isNotNull().alias("failed")).agg(F.count(F.lit(1)).alias("n"))
+    return parse_permissive(events, "line").select("event_id", F.coalesce("error", F.lit("")).alias("error"), F.coalesce(F.size("record"), F.lit(-1)).alias("fields"))
+
+
+@query
+def only_documents(spark, d):
+    """A run restricted to two keys."""
+    return M.only(B.table(spark, d, "documents").select("doc_id", c("source").alias("key")), ["src1", "src7"])
+
+
+@query
+def clean_signature(spark, d):
+    """What the cleaning of each document depends on."""
+    docs = B.table(spark, d, "documents")
+    ranges = F.when(c("lang") == "fr", F.array().cast("array<struct<lo:int,hi:int>>")).otherwise(
+        F.array(F.struct(F.lit(1).alias("lo"), (c("doc_id") % 9).cast("int").alias("hi"))))
+    end = F.when(c("lang") == "de", (c("n_chars") % 100).cast("int"))
+    return docs.select("doc_id", CL.clean_signature(T.content_hash(c("text")), ranges, end).alias("signature"))
 
 
 def judged_pages(spark, d) -> DataFrame:
@@ -521,7 +537,7 @@ def manifest_upsert(spark, d):
 
 @query
 def replace_document(spark, d):
-    """French conversations replaced by shorter versions of themselves."""
+    """Turns of conversations that mention 'tion' somewhere, those with it in capitals; the others of them go."""
     turns = B.table(spark, d, "conversations").select(c("conv_id").alias("book"), c("turn").alias("id"), "text")
     fresh = turns.filter(c("text").contains("tion")).select("book", "id", F.upper("text").alias("text"))
     return M.replace_documents(turns, fresh)
@@ -655,7 +671,7 @@ def hit_preview(spark, d):
 
 @query
 def render_hits(spark, d):
-    """Benchmark texts answered by the dense branch alone, rendered per query."""
+    """Benchmark texts answered by both branches without reranking, rendered per query."""
     k, n = CT.tool_limits(4)
     hits = R.search(points(spark, d), asked(spark, d), k=k, candidates=n, rerank_hits=False)
     return CT.answer_queries(asked(spark, d), CT.render_hits(hits))

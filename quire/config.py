@@ -56,8 +56,6 @@ class Settings:
     tool_k_max: int = 15
     rrf_constant: int = 60
     dense_dim: int = 64
-    max_length: int = 1024
-    embed_batch: int = 8
     context_reach: int = 3
     catalog_cap: int = 80
     history_messages: int = 6

@@ -15,11 +15,6 @@ def only(df: DataFrame, keys: Sequence[str] | None, column: str = "key") -> Data
     return df.filter(F.col(column).isin(*keys)) if keys else df
 
 
-def chunk_signature(clean_sig: Column, title: Column, slot: Column, kind: Column, source: Column) -> Column:
-    """What a chunking depends on, kind and source included."""
-    return F.concat_ws("|", clean_sig, title, slot.cast("string"), kind, source)
-
-
 def index_signature(chunks: DataFrame, stride: int = DEFAULTS.id_stride, limit: int | None = None) -> DataFrame:
     """``book, slot, chunks, sig``: identity of each document's chunk rows.
 
@@ -109,8 +104,3 @@ def unregistered(files: DataFrame, registry: DataFrame) -> DataFrame:
 def copy_into(source: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:
     """Target after copying every source row into it by key; repeating changes nothing."""
     return upsert(target, source, [key])
-
-
-def clean_is_current(signature: Column, stored: Column, exists: Column) -> Column:
-    """Whether a stage can be skipped: its output exists and was made from the same input."""
-    return exists & signature.eqNullSafe(stored)

@@ -155,16 +155,24 @@ def front_matter(pages: Column) -> Column:
 
     def judged(ps: Column) -> Column:
         head = F.slice(ps, F.lit(1), F.greatest(F.lit(4), (F.size(ps) * F.lit(0.15)).cast("int")))
-        return F.array_sort(
+        rows = F.array_sort(
             F.transform(
                 F.filter(head, lambda p: p["page"].isNotNull()),
-                lambda p: F.struct(
-                    p["page"].alias("page"),
+                lambda p, at: F.struct(
+                    p["page"].alias("page"), at.alias("at"),
                     looks_like_contents(p["lines"]).alias("hit"),
                     looks_like_body(p["lines"]).alias("prose"),
                 ),
             )
         )
+        # of pages with one number any may be the hit, and the last one has the prose
+        return bind(rows, lambda rs: bind(
+            F.transform(F.filter(rs, lambda r: r["hit"]), lambda r: r["page"]),
+            lambda hits: F.transform(
+                F.filter(rs, lambda r, k: ~F.coalesce(F.get(rs, k + 1)["page"] == r["page"], F.lit(False))),
+                lambda r: F.struct(r["page"].alias("page"), F.array_contains(hits, r["page"]).alias("hit"), r["prose"].alias("prose")),
+            ),
+        ))
 
     def state(hi: Column, done: Column) -> Column:
         return F.struct(hi.cast("int").alias("hi"), done.alias("done"))
@@ -210,33 +218,22 @@ def back_matter(pages: Column) -> Column:
     than three page numbers does not count.
     """
 
-    def state(start: Column, end: Column, misses: Column) -> Column:
-        return F.struct(
-            start.cast("int").alias("start"), end.cast("int").alias("end"),
-            misses.cast("int").alias("misses"),
-        )
-
-    def step(s: Column, p: Column) -> Column:
-        return (
-            F.when(s["misses"] > 2, s)
-            .when(
-                looks_like_index(p["lines"]),
-                state(p["page"], F.coalesce(s["end"], p["page"]), F.lit(0)),
-            )
-            .when(s["start"].isNotNull(), state(s["start"], s["end"], s["misses"] + 1))
-            .otherwise(s)
+    def nearest_run(hits: Column) -> Column:
+        """Of index-like pages, counted from the end, those before the first gap."""
+        gap = F.filter(
+            F.transform(hits, lambda h, k: F.when((k > 0) & (h["at"] - F.get(hits, k - 1)["at"] > 3), k)),
+            lambda k: k.isNotNull(),
         )
+        last = F.coalesce(F.get(gap, F.lit(0)), F.size(hits)) - 1
+        start, end = F.get(hits, last)["page"], F.get(hits, F.lit(0))["page"]
+        return F.when((F.size(hits) > 0) & (end - start >= 2), start)
 
     def scan(numbered: Column) -> Column:
         skip = (F.size(numbered) * F.lit(0.8)).cast("int")
-        tail = F.slice(numbered, skip + 1, F.size(numbered) - skip)
-        none = F.lit(None)
-        return F.aggregate(
-            F.reverse(tail),
-            state(none, none, F.lit(0)),
-            step,
-            lambda s: F.when(s["end"] - s["start"] >= 2, s["start"]),
-        )
+        tail = F.reverse(F.slice(numbered, skip + 1, F.size(numbered) - skip))
+        hits = F.transform(
+            tail, lambda p, at: F.when(looks_like_index(p["lines"]), F.struct(at.alias("at"), p["page"].cast("int").alias("page"))))
+        return bind(F.filter(hits, lambda h: h.isNotNull()), nearest_run)
 
     return bind(F.filter(pages, lambda p: p["page"].isNotNull()), scan)
 

@@ -116,3 +116,28 @@ def test_status_shows_every_source_and_missing_texts_are_named(spark, tmp_path,
     assert all(f"journal {i}  1" in out for i in range(300)) and "TOTAL  300" in out
     main(["books", *index, "--source", "nowhere"])
     assert "Nothing indexed under 'nowhere'" in capsys.readouterr().out
+
+
+def test_pages_that_share_a_number(spark):
+    from quire.operators import pages as P
+
+    contents = "CONTENTS\n" + "\n".join(f"Part {i} {i + 3}" for i in range(8))
+    index = "INDEX\n" + "\n".join(f"word{i}, {i}, {i + 9}" for i in range(10))
+    prose = "\n".join("Waves travel along the line and are reflected where it ends in something else than itself " * 2 for _ in range(4))
+    book = lambda numbered: "\n".join(f"[PAGE {n}]\n{body}" for n, body in numbered)
+    fronts = {
+        "twin": book([(1, contents), (5, contents), (5, "plain words"), (6, prose)]),
+        "twin first": book([(1, contents), (5, "plain words"), (5, contents), (6, prose)]),
+        "alone": book([(1, contents), (5, contents), (6, prose), (7, prose)]),
+        "prose": book([(1, contents), (2, "short"), (2, prose), (3, "x")]),
+    }
+    backs = {
+        "run": book([(n, prose) for n in range(1, 41)] + [(41, index), (42, "x"), (43, "x"), (44, index), (45, index), (46, "about")]),
+        "gap": book([(n, prose) for n in range(1, 41)] + [(41, index), (42, "x"), (43, "x"), (44, "x"), (45, index), (46, index), (47, index)]),
+        "short": book([(n, prose) for n in range(1, 41)] + [(41, index), (42, index)]),
+    }
+    rows = spark.createDataFrame([*fronts.items(), *backs.items()], "name string, text string")
+    split = rows.select("name", P.split_pages(F.col("text")).alias("p"))
+    got = {r["name"]: (r["f"], r["b"]) for r in split.select("name", P.front_matter(F.col("p")).alias("f"), P.back_matter(F.col("p")).alias("b")).collect()}
+    assert {n: [tuple(x) for x in got[n][0]] for n in fronts} == {"twin": [(1, 5)], "twin first": [(1, 5)], "alone": [(1, 5)], "prose": [(1, 1)]}
+    assert {n: got[n][1] for n in backs} == {"run": 41, "gap": 45, "short": None}
