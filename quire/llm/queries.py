@@ -118,6 +118,19 @@ def op8_capture_index(spark, d):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+ORACLES["op8_capture_index"] = """
+with d as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as x from pages),
+f as (select *, min(page_id) over (partition by x, n) as first from d)
+select page_id, n::bigint as payload_bytes,
+    -- five hexadecimal digits are four digits to the base 32
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(x, (i // 4 * 5 + 1)::int, 5))::int >> (15 - i % 4 * 5)::int) & 31) + 1, 1)), '') as payload_digest,
+    case when page_id > first then 'revisit' else 'response' end as record_type,
+    case when page_id > first then first end as refers_to
+from f
+"""
+
+
 @query
 def op2_sentencepiece(spark, d):
     """Ids of every document and whether they decode to its text."""
