@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.expr import bind
-from quire.llm.store import stored
+from quire.llm.store import hash_sample, stored
 
 c = F.col
 UNKNOWN = "unknown"
@@ -190,9 +190,11 @@ def train(df: DataFrame, most_negatives: int = 2000, seed: int = 3, doc_id: str
     copies = F.explode(F.sequence(F.lit(0), F.lit(DROPPED))).alias("copy")
     positives = own.unionByName(mentions).select("family", words(c("text")).alias("words"), copies).where(near).select(
         "family", "copy", F.filter("words", lambda w, i: (c("copy") == 0) | ((i + c("copy")) % DROPPED != 0)).alias("words"))
-    by_hash = F.xxhash64(doc_id, F.lit(seed))
-    sample = df.orderBy(by_hash, c(doc_id), c(text)).select(text).limit(most_negatives)
-    negatives = sample.select(words(F.get(F.split(text, "[\r\n]+"), F.lit(0))).alias("words")).select(
+    openings = df.select(
+        F.xxhash64(doc_id, F.lit(seed)).alias("key"), F.xxhash64(text).alias("tie"),
+        F.get(F.split(text, "[\r\n]+", 2), F.lit(0)).alias("text"))
+    sample = hash_sample(openings, most_negatives, c("key"), c("tie"))
+    negatives = sample.select(words(c("text")).alias("words")).select(
         F.lit(UNKNOWN).alias("family"), F.pmod(F.xxhash64("words"), F.lit(9)).cast("int").alias("copy"), "words")
     known_grams = F.array_intersect(grams(c("words")), F.lit(vocabulary)).alias("grams")
     rows = positives.select("family", "copy", known_grams).where((c("family") == UNKNOWN) | (F.size("grams") > 0)).unionByName(

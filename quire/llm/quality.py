@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quire.llm.store import stored
+from quire.llm.store import hash_sample, stored
 from quire.llm.words import hashed_words, slices
 
 c = F.col
@@ -202,9 +202,9 @@ def fit(
     known = labels.where(c(doc_id).isNotNull() & c(label).isNotNull()).groupBy(c(doc_id).cast("long").alias("_id")).agg(
         F.when(F.avg(c(label).cast("double")) >= 0.5, 1.0).otherwise(0.0).alias("_label"))
     ids = df.select(c(doc_id).cast("long").alias("_id")).where("_id is not null").distinct()
-    by_hash = [F.xxhash64("_id", F.lit(seed)), c("_id")]
-    asked = known.join(ids, "_id", "left_semi").orderBy(*by_hash).limit(most_labelled)
-    others = ids.join(known, "_id", "left_anti").orderBy(*by_hash).limit(most_pool).withColumn("_label", F.lit(None).cast("double"))
+    by_hash = (F.xxhash64("_id", F.lit(seed)), c("_id"))
+    asked = hash_sample(known.join(ids, "_id", "left_semi"), most_labelled, *by_hash)
+    others = hash_sample(ids.join(known, "_id", "left_anti"), most_pool, *by_hash).withColumn("_label", F.lit(None).cast("double"))
     sample = stored(asked.unionByName(others), "sample")  # at most the two limits, so it may be broadcast
     rows = df.select(*_fit_columns(df, doc_id, text, lang, source)).join(F.broadcast(sample), "_id")
 
