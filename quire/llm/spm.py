@@ -22,8 +22,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)  # kinds of pieces, fixed by the file format
 UNIGRAM, BPE = 1, 2  # kinds of models, fixed by the file format
 RESULT = "token_ids array<int>, n_tokens long, decoded string"
-MEMO = 200_000  # segmentations a worker remembers of late, and as many from before
-HEAD, HEADS = 6, 100_000  # length and number of beginnings it remembers
+MEMO = 120_000  # segmentations a worker remembers of late, and as many from before
+HEAD, HEADS = 6, 50_000  # length and number of beginnings it remembers
 PAIRS = 1_000_000  # judgements on pairs of tokens it remembers
 START = -2  # stands for the token before the first
 SHORT = 64  # longer stretches of text are not remembered
