@@ -32,7 +32,7 @@ from quire.llm.store import stored
 from quire.llm.words import hashed_words, mix, run_hash, slices
 
 c = F.col
-FLUSH = 24 << 20  # bytes of text whose anchors a task gathers before it sends them
+FLUSH = 12 << 20  # bytes of text whose anchors a task gathers before it sends them
 PACKED = "bucket long, many boolean, docs binary, keys binary, checks binary"
 MARKS = "part long, docs binary, keys binary"
 RESULT = "kept string, n_words long, n_removed long, repeats array<struct<start:long,end:long>>"

@@ -30,7 +30,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         return np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]).cumprod(dtype=np.uint64)
 
 
-def slices(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes of text, one row at least."""
     ends = np.asarray(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), np.int64).cumsum()
     first = 0
