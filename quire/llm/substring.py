@@ -141,6 +141,10 @@ def settle(sent: DataFrame, parts: int, smaller: bool) -> DataFrame:
     """Marks for the pairs whose key other documents hold too (with ``smaller``: a smaller one)."""
 
     def run(table: pa.Table) -> pa.Table:
+        first = table["bucket"][0].as_py()
+        if first < 0:  # settled where they were found
+            part = pa.array(np.full(table.num_rows, -1 - first))
+            return pa.table({"part": part, "docs": table["docs"], "keys": table["keys"]})
         sizes = np.asarray(pa.compute.binary_length(table["docs"]).to_numpy(), np.int64) // 8
         many = np.repeat(table["many"].to_numpy(zero_copy_only=False), sizes)
         docs, keys, checks = _joined(table["docs"], np.int64), _joined(table["keys"], np.uint64), _joined(table["checks"], np.uint32)
@@ -158,9 +162,7 @@ def settle(sent: DataFrame, parts: int, smaller: bool) -> DataFrame:
         found = list(pack_marks(docs[marked], keys[marked], parts))
         return pa.Table.from_batches(found) if found else pa.table({"part": pa.array([], pa.int64()), "docs": pa.array([], pa.binary()), "keys": pa.array([], pa.binary())})
 
-    asked = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(run, MARKS)
-    known = sent.where("bucket < 0").select((-1 - c("bucket")).alias("part"), "docs", "keys")
-    return asked.unionByName(known)
+    return sent.groupBy("bucket").applyInArrow(run, MARKS)
 
 
 class Marks:
@@ -313,12 +315,12 @@ def substring_dedup(
             "n_words", pa.array(sizes, pa.int64())).append_column(
             "n_removed", pa.array(gone, pa.int64())).append_column("repeats", pa.array(spans, span))
 
-    sent = stored(known.select("doc_id", "text").mapInArrow(seeds, PACKED), "seeds")
+    sent = known.select("doc_id", "text").mapInArrow(seeds, PACKED)
     shared = stored(settle(sent, parts, smaller=False), "anchors").withColumn("copy", F.lit(False))
     dealt = docs.select(part_column(parts), "*")
-    found = stored(
+    found = (
         dealt.where("doc_id is not null").select("part", "doc_id", "text").groupBy("part")
-        .cogroup(shared.unionByName(copies).groupBy("part")).applyInArrow(windows, PACKED), "windows")
+        .cogroup(shared.unionByName(copies).groupBy("part")).applyInArrow(windows, PACKED))
     last = stored(settle(found, parts, smaller=True), "repeats").withColumn("copy", F.lit(False))
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(RESULT).fields])
     done = dealt.groupBy("part").cogroup(last.unionByName(copies).groupBy("part")).applyInArrow(finish, schema)
