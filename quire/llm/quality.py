@@ -184,6 +184,16 @@ def co_train(
     return Model(float(label[given].mean()), weights[0], weights[1], centre, spread, calibration, join)
 
 
+def shares(sizes: dict[float, int], most: int) -> dict[float, int]:
+    """How many of ``most`` rows each class gets: its share, but a tenth at least if it has as many."""
+    total = sum(sizes.values())
+    if total <= most or len(sizes) < 2:
+        return {k: min(n, most) for k, n in sizes.items()}
+    rare = min(sizes, key=lambda k: (sizes[k], k))
+    few = min(sizes[rare], max(1, most // 10, round(most * sizes[rare] / total)))
+    return {k: few if k == rare else most - few for k in sizes}
+
+
 def _fit_columns(df: DataFrame, doc_id: str, text: str, lang: str, source: str) -> list:
     name = lambda x: c(x).cast("string") if x in df.columns else F.lit(None).cast("string")
     return [c(doc_id).cast("long").alias("_id"), c(text).alias("_text"), name(lang).alias("_lang"), name(source).alias("_source")]
@@ -195,15 +205,20 @@ def fit(
 ) -> Model:
     """Fits on at most ``most_labelled`` labelled and ``most_pool`` other documents.
 
-    Both samples are drawn by a hash of the id over the whole tables. A document
-    labelled several times has the label that most of its rows give, 1 on a tie.
-    Null ids and labels are ignored.
+    Both samples are drawn by a hash of the id over the whole tables, the labelled
+    one per class (:func:`shares`). A document labelled several times has the label
+    that most of its rows give, 1 on a tie. Of rows that repeat a sampled id the one
+    with the least features counts. Null ids and labels are ignored.
     """
     known = labels.where(c(doc_id).isNotNull() & c(label).isNotNull()).groupBy(c(doc_id).cast("long").alias("_id")).agg(
         F.when(F.avg(c(label).cast("double")) >= 0.5, 1.0).otherwise(0.0).alias("_label"))
     ids = df.select(c(doc_id).cast("long").alias("_id")).where("_id is not null").distinct()
     by_hash = (F.xxhash64("_id", F.lit(seed)), c("_id"))
-    asked = hash_sample(known.join(ids, "_id", "left_semi"), most_labelled, *by_hash)
+    given = stored(known.join(ids, "_id", "left_semi"), "given")
+    sizes = {r["_label"]: r["count"] for r in given.groupBy("_label").count().collect()}
+    asked = given.limit(0)
+    for value, most in shares(sizes, most_labelled).items():
+        asked = asked.unionByName(hash_sample(given.where(c("_label") == value), most, *by_hash))
     others = hash_sample(ids.join(known, "_id", "left_anti"), most_pool, *by_hash).withColumn("_label", F.lit(None).cast("double"))
     sample = stored(asked.unionByName(others), "sample")  # at most the two limits, so it may be broadcast
     rows = df.select(*_fit_columns(df, doc_id, text, lang, source)).join(F.broadcast(sample), "_id")
@@ -222,8 +237,8 @@ def fit(
                 ], ["_id", "_label", "at", "value", "meta"])
 
     found = rows.mapInArrow(features, "_id long, _label double, at binary, value binary, meta binary")
-    table = stored(found.orderBy("_id", "meta", "at", "value").limit(2 * (most_labelled + most_pool)), "features").toPandas()
-    table = table.sort_values(["_id", "meta", "at", "value"], kind="stable")
+    least = found.groupBy("_id").agg(F.min(F.struct("meta", "at", "value", "_label")).alias("row")).select("_id", "row.*")
+    table = stored(least, "features").toPandas().sort_values("_id")
     if not len(table):
         return Model(prior=1.0)
     content = np.zeros((len(table), BUCKETS + 1), np.float32)

@@ -77,6 +77,23 @@ def test_odd_rows_are_scored(spark):
     assert len(out) == 305 and all(r["quality_score"] == r["quality_score"] for r in out)
 
 
+def test_rows_of_one_id_push_no_other_out(spark):
+    docs, labels, _ = labelled(300, 4)
+    crowd = [(-1, f"ne ra {i}", "en", "s0", 1, 0.5) for i in range(900)]
+    label = spark.createDataFrame([*labels, (-1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(spark.createDataFrame(docs + crowd, DOCS), label, 200, 200)
+    assert model.content is not None  # labels of both classes were seen
+
+
+def test_rare_class_is_drawn(spark):
+    rows = [(i, "ne ra ti so lu " * 9 if i % 500 else "NE!! RA!! TI!!", "en", "s0", 1, 0.5) for i in range(4000)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 500 > 0), 0) for r in rows], "doc_id long, quality int, toxic int")
+    for seed in range(3):
+        assert quality.fit(spark.createDataFrame(rows, DOCS), labels, 40, 40, seed=seed).content is not None
+    assert quality.shares({1.0: 9000, 0.0: 3}, 3000) == {1.0: 2997, 0.0: 3}
+    assert quality.shares({1.0: 9000, 0.0: 3000}, 3000) == {1.0: 2250, 0.0: 750}
+
+
 # ---- licences ---------------------------------------------------------------
 
 NOTICES = {
