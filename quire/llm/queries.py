@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 c = F.col
@@ -237,3 +238,114 @@ def op10_licence_scan(spark, d):
 
     docs = table(spark, d, "documents").select("doc_id", "text")
     return scan(docs, train(docs, most_negatives=2000))
+
+
+@query
+def op11_cross_tokenizer(spark, d):
+    """Every document by two tokenizers, aligned where their tokens end together, with corpus-wide counts of linked ids."""
+    from quire.llm.align import align, read, scored
+
+    aligned = align(table(spark, d, "documents").select("doc_id", "text"), read(BYTE_TOKENIZER), read(TOKENIZER))
+    digest = F.when(c("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return scored(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "counts"))
+
+
+@query
+def op12_merkle_manifest(spark, d):
+    """Leaves, proofs and roots of all documents; a third of them lower-cased, each a version of the tree."""
+    from quire.llm.merkle import lower_ascii, manifest, third
+
+    done = manifest(table(spark, d, "documents"), changed={"text": lower_ascii()}, where=third())
+    return done.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+ORACLES["op12_merkle_manifest"] = """
+with recursive docs as (
+    select doc_id, coalesce('=' || lang, '-') as key,
+        list_transform([doc_id::varchar, source, lang, n_chars::varchar], lambda x: coalesce(strlen(x) || ':' || x, '-')) as f,
+        text, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint) as digits
+    from documents
+), crc as (
+    -- one bit after the other, from the lowest of each byte
+    select *, xor(4294967295, list_reduce([4294967295] || flatten(list_transform(digits, lambda x: list_transform(range(8), lambda k: (x >> k::int) & 1))),
+        lambda r, b: xor(r >> 1, (xor(r, b) & 1) * 3988292384))) as crc from docs
+), leaves as (
+    select doc_id, key, row_number() over (partition by key order by doc_id nulls first, leaf) - 1 as pos, leaf, changed
+    from (
+        select doc_id, key, sha256(array_to_string(f, '') || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+            case when crc % 3 = 0 then sha256(array_to_string(f, '') || coalesce(strlen(text) || ':' || low, '-')) else leaf end as changed
+        from (select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from crc)
+    )
+), own as (
+    select key, 0 as level, pos, leaf as node, count(*) over (partition by key) as n from leaves
+    union all
+    select key, level + 1, pos // 8, sha256(string_agg(node, '' order by pos)), (any_value(n) + 7) // 8
+    from own where n > 1 group by key, level, pos // 8
+), sub as (
+    select key, node as subroot, row_number() over (order by key) - 1 as pos, count(*) over () as n from own where n = 1
+), top as (
+    select 0 as level, pos, subroot as node, n from sub
+    union all
+    select level + 1, pos // 8, sha256(string_agg(node, '' order by pos)), (any_value(n) + 7) // 8
+    from top where n > 1 group by level, pos // 8
+), fold as (
+    select row_number() over () as id, key, 0 as level, pos, changed as node, '' as proof from leaves
+    union all
+    select f.id, any_value(f.key), any_value(f.level) + 1, any_value(f.pos) // 8,
+        sha256(string_agg(case when own.pos = f.pos then f.node else own.node end, '' order by own.pos)),
+        any_value(f.proof) || coalesce(string_agg(own.node, '' order by own.pos) filter (own.pos <> f.pos), '')
+    from fold f join own on own.key = f.key and own.level = f.level and own.pos // 8 = f.pos // 8
+    where own.n > 1 group by f.id
+), ids as (select row_number() over () as id, * from leaves),
+half as (
+    select f.id, sub.pos, sub.subroot, f.node, f.proof
+    from fold f join own on own.key = f.key and own.level = f.level and own.pos = f.pos and own.n = 1 join sub on sub.key = f.key
+), full_fold as (
+    select id, 0 as level, pos, node, proof from half
+    union all
+    select f.id, any_value(f.level) + 1, any_value(f.pos) // 8,
+        sha256(string_agg(case when top.pos = f.pos then f.node else top.node end, '' order by top.pos)),
+        any_value(f.proof) || coalesce(string_agg(top.node, '' order by top.pos) filter (top.pos <> f.pos), '')
+    from full_fold f join top on top.level = f.level and top.pos // 8 = f.pos // 8
+    where top.n > 1 group by f.id
+), root as (select node as root from top where n = 1)
+select ids.doc_id, ids.leaf, half.subroot, root.root, sha256(f.proof) as proof_sha256, f.node as folded_root, f.node = root.root as verified
+from full_fold f join top on top.level = f.level and top.pos = f.pos and top.n = 1 join ids using (id) join half using (id), root
+"""
+
+
+@query
+def op13_positional_index(spark, d):
+    """Words of all documents that runs of ten words of a benchmark item cover."""
+    from quire.llm.positional import decontaminate
+
+    done = decontaminate(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"), size=10)
+    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op13_positional_index"] = r"""
+with d as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents
+), b as (
+    select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from benchmark
+), win as (
+    select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[i:i + 9], ' ') as g
+    from (select item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) as i from b where len(ws) > 0)
+), found as (
+    select p.doc_id, i, n, g from (
+        select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as g
+        from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from win))
+    ) p semi join win using (n, g)
+), hit as (
+    select doc_id, count(*) as n_hit from (select distinct doc_id, i + unnest(range(n)) as i from found) group by doc_id
+), items as (
+    select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items
+    from (select distinct doc_id, item_id from found join win using (n, g) where item_id is not null) group by doc_id
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (doc_id) left join items using (doc_id)
+"""
