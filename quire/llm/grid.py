@@ -26,14 +26,12 @@ def usable(df: DataFrame, vec_id: str, embedding: str, vector: Column | None = N
     """``vec_id, vector`` of the rows that can take part.
 
     Left out: a null id, a null or empty vector, and vectors with a null, NaN
-    or infinite component. Of rows that repeat an id, the one with the least
-    vector counts.
+    or infinite component. Rows that repeat an id stay, each for itself.
     """
     number = F.col(embedding).cast("array<double>")
     fit = F.forall(number, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
     rows = df.where(F.col(vec_id).isNotNull() & F.coalesce(F.size(embedding) > 0, F.lit(False)) & fit)
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), (number if vector is None else vector).alias("vector"))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.select(F.col(vec_id).cast("long").alias("vec_id"), (number if vector is None else vector).alias("vector"))
 
 
 def _matrix(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +50,8 @@ def nearest(
     among them. Only vectors of the same length meet. ``score`` gets ids and
     matrix of a vector block and of a query block and returns row numbers of
     queries, row numbers of vectors and scores of the ``k`` best per query of
-    the block. Ties go to the smaller id.
+    the block, none of the query's own id. Ties go to the smaller id; query
+    rows of one id share a list.
     """
     vectors = stored(vectors.withColumn("dim", F.size("vector")), "vectors")
     sizes = vectors.agg(F.count("*"), F.count_if(query)).first()

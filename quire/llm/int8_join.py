@@ -97,8 +97,9 @@ def int8_neighbours(
     ``query`` is a condition on ``vec_id``. A vector is no candidate of its own
     id; ties go to the smaller id; fewer than ``k`` candidates: all of them.
     Null ids and vectors that are null, empty, zero or hold null or non-finite
-    components take no part, vectors of another length do not meet, an id given
-    twice counts once, with its least vector.
+    components take no part, vectors of another length do not meet. Rows that
+    repeat an id are candidates each for itself; as queries they share one list.
+    Other columns, whatever their names, are ignored.
     """
     some = F.exists(F.col(embedding).cast("array<double>"), lambda x: x != 0)
     vectors = usable(df.where(some), vec_id, embedding)

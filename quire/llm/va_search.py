@@ -38,10 +38,8 @@ def search_block(k: int, bits: int, tile: int = 128, step: int = 64):
             q = asked[first:first + tile].astype(np.float64)
             centre, slack = q @ middle.T, np.abs(q) @ half.T
             upper, lower = centre + slack, centre - slack
-            own = np.searchsorted(ids, qids[first:first + tile])
-            own[own == len(ids)] = 0
-            mine = np.flatnonzero(ids[own] == qids[first:first + tile])
-            upper[mine, own[mine]] = lower[mine, own[mine]] = -np.inf
+            own = ids[None, :] == qids[first:first + tile, None]
+            upper[own] = lower[own] = -np.inf
             sure = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
             for i in range(len(q)):
                 near = np.flatnonzero((upper[i] >= sure[i]) & (upper[i] > -np.inf))
@@ -77,8 +75,9 @@ def va_top_k(
     ``query`` is a condition on ``vec_id``. A vector is no candidate of its own
     id. Fewer than ``k`` candidates: all of them. Null ids and vectors that are
     null, empty or hold null or non-finite components take no part, vectors of
-    another length do not meet, an id given twice counts once, with its least
-    vector. Scores are 64-bit integers.
+    another length do not meet. Rows that repeat an id are candidates each for
+    itself; as queries they share one list. Other columns, whatever their names,
+    are ignored. Scores are 64-bit integers.
     """
     steps = F.transform(F.col(embedding).cast("array<double>"), lambda x: F.floor(x * scale).cast("long"))
     vectors = usable(df, vec_id, embedding, steps)

@@ -22,28 +22,28 @@ def rows(n, dim, seed, odd=True):
             (None, [1.0] * dim, 0, ""), (5000, None, 0, ""), (5001, [], 0, ""), (5020, [float("nan")] * dim, 0, ""),
             (5040, [float("inf")] + [0.0] * (dim - 1), 0, ""), (5060, [None] + [0.5] * (dim - 1), 0, ""),
             (5080, [0.0] * dim, 0, ""), (5100, [0.5] * (dim + 1), 0, ""), (5200, [0.25] * (dim + 1), 0, ""), out[0], out[20],
+            (20, [0.75] * dim, 0, ""), (3, [0.9] * dim, 0, ""), (3, [-0.9] * dim, 0, ""),
         ]
     return out
 
 
 def fit(rows, zero):
-    kept = {}
+    """Rows that can take part; an id may repeat."""
+    kept = []
     for i, v, *_ in rows:
         if i is None or not v or any(x is None or not math.isfinite(x) for x in v) or (not zero and not any(v)):
             continue
-        v = np.array(v, np.float32).astype(float)
-        kept[i] = min(kept.get(i, v.tolist()), v.tolist())
+        kept.append((i, np.array(v, np.float32).astype(float).tolist()))
     return kept
 
 
 def brute(kept, query, k, score, ascending):
-    out = set()
-    for q in kept:
-        if query(q):
-            found = [(score(kept[q], v), i) for i, v in kept.items() if i != q and len(v) == len(kept[q])]
-            found.sort(key=lambda x: (x[0] if ascending else -x[0], x[1]))
-            out |= {(q, r + 1, i, s) for r, (s, i) in enumerate(found[:k])}
-    return out
+    out = []
+    for q in sorted({i for i, _ in kept if query(i)}):
+        found = [(score(x, v), i) for j, x in kept if j == q for i, v in kept if i != q and len(v) == len(x)]
+        found.sort(key=lambda x: (x[0] if ascending else -x[0], x[1]))
+        out += [(q, r + 1, i, s) for r, (s, i) in enumerate(found[:k])]
+    return sorted(out)
 
 
 def inner(a, b):
@@ -58,7 +58,7 @@ def euclid(a, b):
 
 
 def got(df):
-    return {tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect()}
+    return sorted(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
 
 
 @pytest.mark.parametrize("dim,bits,seed", [(3, 2, 1), (8, 5, 2), (16, 8, 3)])
@@ -90,7 +90,7 @@ def test_no_rows_and_few_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     two = spark.createDataFrame([(0, [1.0, 0.0], 0, ""), (20, [0.0, 1.0], 0, "")], SCHEMA)
     for op in (va_search.va_top_k, int8_join.int8_neighbours):
-        assert got(op(none, F.col("vec_id") % 20 == 0)) == set()
+        assert got(op(none, F.col("vec_id") % 20 == 0)) == []
         assert {x[:3] for x in got(op(two, F.col("vec_id") % 20 == 0))} == {(0, 1, 20), (20, 1, 0)}
 
 
