@@ -36,6 +36,12 @@ ORACLES["formfeed_pages"] = """
 select doc_id as pdf, (3 + n - 1)::int as page, md5(t) as text_md5
 from documents, unnest(string_split(text, chr(10))) with ordinality as u(t, n)"""
 
+ORACLES["page_source"] = """
+with v as (
+  select doc_id // 500 as volume, string_split(string_agg(coalesce(text, '') || chr(12), '' order by doc_id), chr(12)) as pages
+  from documents group by 1)
+select volume, i::int as page, md5(pages[i]) as text_md5, null::varchar as error from (select volume, pages, unnest(range(1, len(pages))) as i from v)"""
+
 ORACLES["page_marker_render"] = """
 select doc_id, '[PAGE ' || (doc_id + length(source)) || ']' || chr(10) || rtrim(text, ' ' || chr(10)) || chr(10) as rendered
 from documents"""
@@ -113,9 +119,9 @@ spans as (
 ORACLES["top_outline"] = f"with {PDF} select pdf, ord, title, page from outline"
 ORACLES["article_spans"] = f"with {PDF} select pdf, title, lo, hi, nth from spans"
 ORACLES["issue_classifier"] = """
-with d as (select source || '-' || lang as pdf, doc_id, n_chars from documents),
+with d as (select source || '-' || lang as pdf, doc_id, n_chars, string_split(text, chr(10))[1] as line from documents),
 n as (select pdf, (count(*) + 70 + min(doc_id) % 15)::int as page_count from d group by pdf),
-e as (select pdf, 1 + n_chars % 8 as level, doc_id % 7 as page from d where n_chars % 4 = 0 and doc_id % 9 <> 0),
+e as (select pdf, 1 + length(line) % 8 as level, n_chars % 5 as page from d),
 m as (select pdf, count(*) filter (page > 0 and level = top) as marks from (select *, min(level) over (partition by pdf) as top from e) group by pdf)
 select pdf, page_count, coalesce(marks, 0) as marks, page_count >= 80 and coalesce(marks, 0) >= 6 as is_issue from n left join m using (pdf)"""
 
@@ -132,7 +138,7 @@ from s group by pdf, page"""
 
 FOLIO = r"""
 folio_lines as (
-  select {key}, list_filter(list_transform(string_split('Vol. 12, ' || ({page} + 417) || chr(10) || text || chr(10) || 'April 2023 ' || ({page} + 417) || ' 123456', chr(10)), lambda l: trim(l)), lambda l: l <> '') as ls
+  select {key}, list_filter(list_transform(string_split({whole}, chr(10)), lambda l: trim(l)), lambda l: l <> '') as ls
   from {src}),
 folio_numbers as (
   select distinct {key}, v from (
@@ -142,17 +148,22 @@ folio_numbers as (
     where regexp_full_match(w, '[0-9]{{1,5}}'))
   where v between 1 and 30000)"""
 
-ORACLES["folio_candidates"] = f"""with {FOLIO.format(key='doc_id', page='doc_id', src='documents')}
+FOLIOED = "'Vol. 12, ' || (doc_id + 417) || chr(10) || text || chr(10) || 'April 2023 ' || (doc_id + 417) || ' 123456'"
+
+ORACLES["folio_candidates"] = f"""with {FOLIO.format(key='doc_id', whole=FOLIOED, src='documents')}
 select d.doc_id, coalesce(string_agg(v::varchar, ',' order by v), '') as folios
 from documents d left join folio_numbers f on f.doc_id = d.doc_id group by d.doc_id"""
 
-ORACLES["offset_vote"] = """
+ORACLES["offset_vote"] = f"""
 with p as (
-  select source || '-' || lang as pdf, n_chars % 3 as r, row_number() over (partition by source, lang order by doc_id) as page from documents),
-v as (select pdf, case r when 0 then 400 when 1 then 100 end as o from p where page % 2 = 1 and page < 16),
-n as (select pdf, o, count(*) as n from v where o is not null group by all),
+  select source || '-' || lang as pdf, n_chars % 3 as r, coalesce(text, '') as text, row_number() over (partition by source, lang order by doc_id) as page from documents),
+s as (
+  select pdf, page, 'Proc. ' || case r when 0 then (page + 400)::varchar when 1 then (page + 100)::varchar else '' end || chr(10) || text as whole
+  from p where page <= 8),
+{FOLIO.format(key='pdf, page', whole='whole', src='s')},
+n as (select pdf, v - page as o, count(*) as n from folio_numbers where v - page between -400 and 30000 group by all),
 best as (select pdf, n, o from n qualify row_number() over (partition by pdf order by n desc, o) = 1)
-select pdf, case when n >= 3 then o end::int as page_offset from (select distinct pdf from v) left join best using (pdf)"""
+select pdf, case when n >= 3 then o end::int as page_offset from (select distinct pdf from p) left join best using (pdf)"""
 
 ORACLES["skip_titles"] = rf"""
 with t as (
@@ -283,6 +294,11 @@ select count(*) as chunks, min(n_tokens) as min_tokens, list_sort(list(n_tokens)
 # ---- maintenance ------------------------------------------------------------
 
 ORACLES["stale_docs"] = "select 'doc_' || doc_id as key, md5(text) as sig from documents where lang in ('es', 'fr')"
+ORACLES["stale_stages"] = f"""
+select source || '-' || doc_id as key, lang = 'de' or lang = 'es' and upper(text) <> text as clean,
+  lang = 'de' or lang = 'es' and upper(text) <> text or lang = 'fr' and string_split(text, chr(10))[1] <> 'old' as chunk
+from documents"""
+
 ORACLES["index_signature"] = """
 with r as (
   select source as book, doc_id * 1000 + n - 1 as id,
@@ -382,6 +398,8 @@ select qid::bigint as qid, id, score, rank from (
   select *, row_number() over (partition by qid order by score desc, id)::int as rank from s) where rank <= 10"""
 
 ORACLES["sparse_topk"] = f"with {terms()} select qid, id, score, rank::int as rank from sparse_rank where rank <= 10"
+ORACLES["dense_cells"] = ORACLES["dense_topk"]
+ORACLES["sparse_blocks"] = ORACLES["sparse_topk"]
 ORACLES["rrf_fusion"] = f"with {terms()}, {fused(30, 5)} select qid, id, round(score, 9) as score, rank::int as rank from fused"
 ORACLES["hybrid_search"] = f"""with {terms()}, {fused(30, 30)}, {OVERLAP.format(hits='fused')}
 select qid, id, 'doc_' || id as book, {KIND} as kind, round(score, 9) as score, round(rerank_score, 9) as rerank_score, rank::int as rank

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,23 @@ def formfeed_pages(spark, d):
     return split(docs).select("pdf", "page", F.md5("text").alias("text_md5"))
 
 
+@query
+def page_source(spark, d):
+    """All texts in files of 500, a page each and more where a text has form feeds, read back page by page.
+
+    Files are read in parts of 64 kB, so the pages of one come from several tasks.
+    """
+    from quire.functions.frames import shared_folder
+    from quire.sources.pages import read_pages, scan_files
+
+    folder = f"{shared_folder(spark)}/volumes-{uuid.uuid4().hex}"
+    docs = B.table(spark, d, "documents").select(F.expr("doc_id div 500").alias("volume"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("volume").sortWithinPartitions("volume", "doc_id").select("volume", "text").write.partitionBy("volume").option("lineSep", "\f").text(folder)
+    read = read_pages(scan_files(spark, folder, "*.txt"), folder, "formfeed", share=1 << 16)
+    volume = F.regexp_extract("pdf", "volume=([0-9]+)", 1).cast("bigint").alias("volume")
+    return read.select(volume, "page", F.md5("text").alias("text_md5"), "error")
+
+
 @query
 def page_marker_render(spark, d):
     docs = B.table(spark, d, "documents")
@@ -169,12 +187,17 @@ def article_spans(spark, d):
 
 @query
 def issue_classifier(spark, d):
-    """One file per source and language: some are too short, some have too few entries."""
-    docs = B.table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("pdf"), "doc_id", "n_chars")
+    """One file per source and language with an entry for every document, its title the first line.
+
+    Depth and page go by the text: entries of inner levels and of page zero do
+    not count, so some files are too short and some have too few entries.
+    """
+    docs = B.table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("pdf"), "doc_id", "n_chars", "text")
     counts = docs.groupBy("pdf").agg((F.count(F.lit(1)) + 70 + F.min("doc_id") % 15).cast("int").alias("page_count"))
-    marks = docs.filter((c("n_chars") % 4 == 0) & (c("doc_id") % 9 != 0)).select(
-        "pdf", c("doc_id").alias("ord"), (1 + c("n_chars") % 8).cast("int").alias("level"), F.lit("x").alias("title"),
-        (c("doc_id") % 7).cast("int").alias("page"))
+    line = F.element_at(F.split("text", "\n"), 1)
+    marks = docs.select(
+        "pdf", c("doc_id").alias("ord"), (1 + F.length(line) % 8).cast("int").alias("level"), line.alias("title"),
+        (c("n_chars") % 5).cast("int").alias("page"))
     return G.issues(G.top_outline(marks), counts)
 
 
@@ -208,18 +231,19 @@ def folioed(text, page):
 
 @query
 def offset_vote(spark, d):
-    """One file per source and language, an article on every other page.
+    """One file per source and language, a page for each document with its whole text below a folio line.
 
     Folios are printed on some pages only, so files fall short of three votes,
-    and two rows of folios compete, so counts tie.
+    and two rows of folios compete, so counts tie. Every page is an article.
     """
     docs = B.table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("pdf"), "doc_id", "n_chars")
     at = prefix_sum(docs, ["doc_id"], group=["pdf"], name="_page").withColumn("page", c("_page").cast("int"))
     folio = F.when(c("n_chars") % 3 == 0, (c("page") + 400).cast("string")).when(
         c("n_chars") % 3 == 1, (c("page") + 100).cast("string")).otherwise("")
-    pages = at.select("pdf", "page", F.concat(F.lit("Proc. "), folio, F.lit("\nbody")).alias("text"))
-    article = at.filter(c("page") % 2 == 1).select("pdf", c("page").alias("lo"), ((c("page") + 1) / 2).cast("int").alias("nth"))
-    return G.page_offsets(article, pages)
+    texts = B.table(spark, d, "documents").select("doc_id", "text")
+    pages = at.join(texts, "doc_id").select(
+        "pdf", "page", F.concat(F.lit("Proc. "), folio, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return G.page_offsets(at.select("pdf", c("page").alias("lo"), c("page").alias("nth")), pages)
 
 
 @query
@@ -519,6 +543,20 @@ def stale_docs(spark, d):
     return M.stale(now, manifest).select("key", "sig")
 
 
+@query
+def stale_stages(spark, d):
+    """Which stage has to run where titles (fr) or texts (es) have changed and German documents are new."""
+    docs = B.table(spark, d, "documents")
+    first = F.element_at(F.split("text", "\n"), 1)
+
+    def stamps(title, text):
+        clean = F.md5(text)
+        return docs.select(F.concat("source", F.lit("-"), "doc_id").alias("key"), "lang", clean.alias("clean"), F.md5(F.concat_ws("|", clean, title)).alias("chunk"))
+
+    before = stamps(F.when(c("lang") == "fr", "old").otherwise(first), F.when(c("lang") == "es", F.upper("text")).otherwise(c("text"))).where("lang <> 'de'")
+    return M.stale_stages(stamps(first, c("text")), {s: before.select("key", c(s).alias("stamp")) for s in ("clean", "chunk")})
+
+
 @query
 def index_signature(spark, d):
     docs = B.documents(spark, d)
@@ -606,14 +644,37 @@ def asked(spark, d) -> DataFrame:
 def dense_topk(spark, d):
     """The 10 vectors closest to the mean vector of each label."""
     vectors = B.table(spark, d, "embeddings")
-    means = (
+    pts = vectors.select(c("vec_id").alias("id"), c("embedding").alias("dense"))
+    return R.nearest(pts, label_means(vectors), 10, sparse=False).select("qid", "id", "score", "rank")
+
+
+def label_means(vectors):
+    return (
         vectors.select("label", F.posexplode("embedding").alias("j", "v"))
         .groupBy("label", "j").agg(F.avg(c("v").cast("double")).alias("m"))
         .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("j", "m"))).alias("ms"))
         .select(c("label").cast("bigint").alias("qid"), F.transform("ms", lambda x: x["m"]).alias("dense"))
     )
+
+
+@query
+def dense_cells(spark, d):
+    """The same through cells around pivots, of which only those within reach are read."""
+    from quire.operators.pruned import cells, dense_search
+
+    vectors = B.table(spark, d, "embeddings")
     pts = vectors.select(c("vec_id").alias("id"), c("embedding").alias("dense"))
-    return R.nearest(pts, means, 10, sparse=False).select("qid", "id", "score", "rank")
+    hits, _ = dense_search(cells(pts, dim=64), label_means(vectors), 10)
+    return hits
+
+
+@query
+def sparse_blocks(spark, d):
+    """The 10 documents of the largest sparse score for each benchmark text, through postings with block bounds."""
+    from quire.operators.pruned import postings, sparse_search
+
+    hits, _ = sparse_search(postings(points(spark, d)), R.encode_queries(asked(spark, d)), 10)
+    return hits
 
 
 @query

@@ -12,7 +12,6 @@ class Settings:
     The numbers are fixed values: results only match when these defaults hold.
     """
 
-    collection: str = "signal_integrity"
     banner_patterns: tuple[str, ...] = (r"Downloaded from https://onlinelibrary\.wiley\.com",)
 
     # chunk ids: every document owns one block of this many ids

@@ -54,7 +54,13 @@ class HashingEncoder:
 
 
 def vectors(text: Column, encoder: Encoder) -> Column:
-    """Vector struct of a text column; the encoder loads once per Python worker."""
+    """Vector struct of a text column.
+
+    An encoder that is a stage of its own (``column``, as a ``ModelEncoder`` is)
+    is loaded by each worker; any other one is sent to the workers as it is.
+    """
+    if hasattr(encoder, "column"):
+        return encoder.column(text)
 
     @F.pandas_udf(VECTOR_TYPE)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

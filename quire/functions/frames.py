@@ -3,28 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back.
+    """``df`` written to the checkpoint folder and read back."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session inside one JVM may go without and use a temporary one.
-    """
-    context = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a session inside one JVM may go without."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         alone = context.master == "local" or context.master.startswith("local[")
         if not folder and not alone:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir().rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: for wide rows, of which few columns are read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def prefix_sum(

@@ -202,30 +202,39 @@ def _document_chunks(count: Callable[[Column], Column], settings: Settings) -> t
     return S.parse_sections(c("clean_text"), c("kind"), settings), chunks
 
 
-def chunk_documents(
+def _sectioned(docs: DataFrame, count: Callable[[Column], Column], settings: Settings) -> tuple[DataFrame, Column]:
+    """Documents with their sections, and the array of their passages."""
+    c = F.col
+    sections, chunks = _document_chunks(count, settings)
+    rows = docs.select(
+        c("key").alias("book"), c("title").alias("book_title"),
+        F.coalesce(c("kind"), F.lit("book")).alias("kind"),
+        F.coalesce(c("source"), F.lit("")).alias("source"), "slot", "clean_text",
+    )
+    return rows.withColumn("_sections", sections), chunks
+
+
+def chunk_arrays(
     docs: DataFrame,
     count: Callable[[Column], Column] = T.token_count,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Passages of cleaned documents, one row each.
+    """``book, book_title, kind, source, slot, chunks``: the passages of cleaned documents, an array each.
 
-    Needs ``key, title, kind, source, slot, clean_text``. Sections, packing,
-    the size filter and the dense numbering all happen inside the document's
-    row, so the plan is a scan with projections and one explode.
+    Needs ``key, title, kind, source, slot, clean_text``. Sections, packing and
+    the size filter all happen inside the document's row.
     """
+    rows, chunks = _sectioned(docs, count, settings)
+    return rows.select("book", "book_title", "kind", "source", "slot", chunks.alias("chunks"))
+
+
+def explode_chunks(arrays: DataFrame, settings: Settings = DEFAULTS, chunks: Column | None = None) -> DataFrame:
+    """Passages with their dense ids, one row each, of what :func:`chunk_arrays` gives."""
     c = F.col
-    sections, chunks = _document_chunks(count, settings)
     return (
-        docs.select(
-            c("key").alias("book"), c("title").alias("book_title"),
-            F.coalesce(c("kind"), F.lit("book")).alias("kind"),
-            F.coalesce(c("source"), F.lit("")).alias("source"), "slot", "clean_text",
-        )
-        .withColumn("_sections", sections)
-        .select(
+        arrays.select(
             "book", "book_title", "kind", "source", "slot",
-            F.posexplode(chunks).alias("_n", "_chunk"),
-        )
+            F.posexplode(c("chunks") if chunks is None else chunks).alias("_n", "_chunk"))
         .select(
             (c("slot").cast("bigint") * F.lit(settings.id_stride) + c("_n")).alias("id"),
             "book", "book_title", "kind", "source", "_chunk.*",
@@ -237,6 +246,20 @@ def chunk_documents(
     )
 
 
+def chunk_documents(
+    docs: DataFrame,
+    count: Callable[[Column], Column] = T.token_count,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Passages of cleaned documents, one row each: a scan with projections and one explode.
+
+    The explode works on the expression itself: on a column of it the planner
+    would add a filter that computes it a second time.
+    """
+    rows, chunks = _sectioned(docs, count, settings)
+    return explode_chunks(rows, settings, chunks)
+
+
 def token_quantiles(chunks: DataFrame) -> DataFrame:
     """Corpus-wide chunk count and order statistics of ``n_tokens``.
 

@@ -62,6 +62,19 @@ def stale(current: DataFrame, manifest: DataFrame, force: bool = False) -> DataF
     return current.join(manifest.select("key", "sig"), ["key", "sig"], "left_anti").select(*current.columns)
 
 
+def stale_stages(now: DataFrame, stored: dict[str, DataFrame]) -> DataFrame:
+    """``key`` and, for each stage, whether it has to run: its stamp is not the one stored with its output.
+
+    ``now`` has ``key`` and a stamp per stage under the stage's name; a stamp
+    says all that the stage depends on, stages before it included. ``stored``
+    has ``key, stamp`` of what each stage has written.
+    """
+    for name, have in stored.items():
+        same = have.select("key", F.col("stamp").alias(name), F.lit(True).alias("_have"))
+        now = now.join(same.dropDuplicates(["key", name]), ["key", name], "left").withColumn(f"_{name}", F.col("_have").isNull()).drop("_have")
+    return now.select("key", *(F.col(f"_{name}").alias(name) for name in stored))
+
+
 def first_per_group(df: DataFrame, n: int, group: str = "book", order: str = "id") -> DataFrame:
     """The first ``n`` rows of each group; every task cuts its share before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order))

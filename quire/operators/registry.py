@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ INDEX_FILE = r"(?i)(?<![\p{L}\p{N}_])index(?![\p{L}\p{N}_]).*(?<![\p{L}\p{N}_])v
 RUNNING_TITLE = r"(?i)^ieee(?![\p{L}\p{N}_])"
 PRINTED_NUMBER = r"(?<![\p{L}\p{N}_])(\p{Nd}{1,5})(?![\p{L}\p{N}_])"
 
+TURNS = 50_000  # rows that one task names one after the other
+
 
 def path_order(path: str) -> Column:
     """Sorts paths folder by folder: the separator comes before any other character."""
@@ -93,8 +96,9 @@ def unique_keys(wanted: DataFrame, taken: DataFrame, order: str = "path") -> Dat
     A base alone is numbered in one pass. Bases meet only where one is another
     one with a number, such as x_2 and x: there the row that comes first gets
     the name. Which one that is depends on the names below it, so it is settled
-    in rounds, from small numbers up, until nothing changes; without such bases
-    there is one pass.
+    in rounds, from small numbers up, until nothing changes. Only rows of such
+    bases take part, and where no more than ``TURNS`` rows have a root in common
+    a task names them in turn.
     """
     c = F.col
     base = F.when(F.coalesce(c("base"), F.lit("")) == "", "doc").otherwise(c("base"))
@@ -110,22 +114,33 @@ def unique_keys(wanted: DataFrame, taken: DataFrame, order: str = "path") -> Dat
 
     names = taken.select(c("key").alias("name")).distinct()
     one = F.lit(1).cast("bigint").alias("number")
-    held = names.select(c("name").alias("base"), one).unionByName(numbered(names)).join(
-        bases.select("base"), "base", "left_semi")
+    held = durable(names.select(c("name").alias("base"), one).unionByName(numbered(names)).join(
+        bases.select("base"), "base", "left_semi"))
     # rivals: bases that another base would come to with a number, and are not taken anyway
     rivals = numbered(bases.select(c("base").alias("name"), "since"), "name", "since").join(
         bases.select("base"), "base", "left_semi").join(names, "name", "left_anti")
     rivals = durable(rivals)
-    meet = not rivals.isEmpty()
+    if rivals.isEmpty():
+        return named(_numbered_apart(rows, held, order), order)
+    # only bases with a rival depend on each other; all others are numbered once
+    tense = durable(rivals.select("base").union(rivals.select("name")).distinct())
+    calm = _numbered_apart(rows.join(small(tense), "base", "left_anti"), held, order)
+    rows = durable(rows.join(small(tense), "base", "left_semi").withColumn("root", root(c("base"))))
+    # bases that depend on each other have one root; where few rows share it they are named one by one
+    crowded = durable(rows.groupBy("root").count().where(c("count") > TURNS).select("root"))
+    few = _by_turns(rows.join(crowded, "root", "left_anti"), names, order)
+    calm = calm.unionByName(few)
+    if crowded.isEmpty():
+        return named(calm, order)
+    rows = durable(rows.join(crowded, "root", "left_semi").drop("root"))
+    held = durable(held.join(small(tense), "base", "left_semi"))
+    rivals = durable(rivals.withColumn("root", root(c("name"))).join(crowded, "root", "left_semi").drop("root"))
     ahead = rivals.select("name")  # rivals that come before the other base gets there
     while True:
         won = rivals.join(ahead, "name", "left_semi")
         lost = rivals.join(ahead, "name", "left_anti")
         blocked = held.unionByName(won.select("base", "number")).unionByName(lost.select(c("name").alias("base"), one))
-        given = free_numbers(rows, blocked if meet else held, order, ["base"], 1)
-        if not meet:
-            break
-        given = durable(given)
+        given = durable(free_numbers(rows, blocked, order, ["base"], 1))
         # the row that gets the number, or would have got it: numbers ascend with the rows
         reached = rivals.join(given, "base").where(given["number"] >= rivals["number"]).groupBy("name").agg(F.min(order).alias("at"))
         now = durable(
@@ -133,10 +148,60 @@ def unique_keys(wanted: DataFrame, taken: DataFrame, order: str = "path") -> Dat
         if now.join(ahead, "name", "left_anti").isEmpty() and ahead.join(now, "name", "left_anti").isEmpty():
             break
         ahead = now
+    return named(calm.unionByName(given), order)
+
+
+def root(base: Column) -> Column:
+    """A base without the numbers at its end."""
+    return F.regexp_replace(base, "(_[0-9]+)+$", "")
+
+
+def _by_turns(rows: DataFrame, names: DataFrame, order: str) -> DataFrame:
+    """``order, base, number``: the rows of each root (at most ``TURNS``) named one after the other."""
+    columns = [order, "base", "number"]
+
+    def run(own: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        used, following, out = set(taken["name"]), {}, []
+        for at, base in own.sort_values(order)[[order, "base"]].itertuples(index=False):
+            number = following.get(base, 1)
+            while (name := base if number == 1 else f"{base}_{number}") in used:
+                number += 1
+            used.add(name)
+            following[base] = number + 1
+            out.append((at, base, number))
+        return pd.DataFrame(out, columns=columns)
+
+    taken = names.select("name", root(F.col("name")).alias("root"))
+    return rows.groupBy("root").cogroup(taken.join(rows.select("root").distinct(), "root", "left_semi").groupBy("root")).applyInPandas(
+        run, f"{order} string, base string, number bigint")
+
+
+def named(given: DataFrame, order: str) -> DataFrame:
+    """``order, base, key`` from the number that each row of a base has got."""
+    c = F.col
     return given.select(
         order, "base",
-        F.when(c("number") == 1, c("base")).otherwise(F.concat("base", F.lit("_"), c("number").cast("string"))).alias("key"),
-    )
+        F.when(c("number") == 1, c("base")).otherwise(F.concat("base", F.lit("_"), c("number").cast("string"))).alias("key"))
+
+
+def _numbered_apart(rows: DataFrame, held: DataFrame, order: str) -> DataFrame:
+    """``order, base, number``: as ``free_numbers``, which only bases with a taken number have to go through.
+
+    A row alone with its base is number one; rows of a base of which nothing is
+    taken are just counted.
+    """
+    counts = rows.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    state = durable(counts.join(held.select("base").distinct().withColumn("held", F.lit(True)), "base", "left"))
+    alone = state.where("held is null and n = 1").select("base")
+    several = state.where("held is null and n > 1").select("base")
+    met = state.where("held").select("base")
+    out = rows.join(alone, "base", "left_semi").select(order, "base", F.lit(1).cast("bigint").alias("number"))
+    if not several.isEmpty():
+        counted = prefix_sum(rows.join(several, "base", "left_semi"), [order], group=["base"], name="number")
+        out = out.unionByName(counted.select(order, "base", "number"))
+    if not met.isEmpty():
+        out = out.unionByName(free_numbers(rows.join(met, "base", "left_semi"), held, order, ["base"], 1))
+    return out
 
 
 def free_slots(new: DataFrame, used: DataFrame, order: str = "path") -> DataFrame:

@@ -10,31 +10,14 @@ from pyspark.sql import functions as F
 from quire.config import DEFAULTS, Settings
 from quire.functions import text as T
 from quire.functions.encoding import Encoder, embed
-from quire.functions.expr import remembered
 from quire.functions.frames import durable, small
 from quire.operators import maintenance as M
 from quire.operators.chunking import chunk_documents
-from quire.operators.cleaning import clean, clean_signature
-from quire.operators.pages import resolve_matter
+from quire.operators.cleaning import clean
+from quire.plans.stages import Stages, resolve
 from quire.sources.store import Store
 
 
-@remembered
-def _matter(redetect: bool) -> Column:
-    c = F.col
-    return resolve_matter(c("auto"), c("skip_pages"), c("body_end_page"), c("text"), redetect)
-
-
-def resolve(documents: DataFrame, redetect: bool = False) -> DataFrame:
-    """Documents with front and back matter filled in where it may be guessed."""
-    return (
-        documents.withColumn("_matter", _matter(redetect))
-        .withColumn("skip_pages", F.col("_matter.skip_pages"))
-        .withColumn("body_end_page", F.col("_matter.body_end_page"))
-        .drop("_matter")
-    )
-
-
 def passages(
     documents: DataFrame, redetect: bool = False,
     count: Callable[[Column], Column] = T.token_count, settings: Settings = DEFAULTS,
@@ -75,41 +58,33 @@ def ingest(
     return todo
 
 
-def input_signature(settings: Settings = DEFAULTS) -> Column:
-    """Everything a document's chunks depend on."""
-    c = F.col
-    return F.md5(
-        F.concat_ws(
-            "|",
-            clean_signature(T.content_hash(c("text")), c("skip_pages"), c("body_end_page"), settings),
-            F.to_json("auto"), "title", c("slot").cast("string"), "kind", "source", F.lit(repr(settings)),
-        )
-    )
-
-
 def build(
     documents: DataFrame, store: Store, settings: Settings = DEFAULTS,
     keys: Sequence[str] | None = None, force: bool = False, recreate: bool = False,
-    limit: int | None = None, encoder: Encoder | None = None,
+    limit: int | None = None, encoder: Encoder | None = None, load: bool = True,
 ) -> DataFrame:
     """Clean, chunk and ingest registry rows with text; gives the documents loaded.
 
-    A first pass over the texts only hashes them. Documents that changed since
-    the manifest was written are cleaned and chunked once, and their chunks are
-    written out before they are signed, embedded and loaded.
+    Each stage works on the documents whose stamp differs from the one stored
+    with its output: cleaning, cutting, loading. ``load=False`` stops before the
+    index, and ``force`` redoes every stage. The result has the manifest rows of
+    the documents loaded, none without ``load``.
     """
     documents = M.only(documents, keys)
+    stages = Stages(store, settings)
     if recreate:
         store.drop()
-    stamped = documents.select("key", input_signature(settings).alias("input_sig"))
+        stages.drop()
+    stages.run(documents, force)
+    if not load:
+        return store.manifest().limit(0)
+    stamped = stages.stamps().join(documents.select("key"), "key", "left_semi")
     if not (force or limit):
         known = store.manifest().select("key", "input_sig")
         stamped = stamped.join(known, ["key", "input_sig"], "left_anti")
     changed = durable(stamped)
-    work = documents.join(small(changed), "key")
-    chunks = durable(passages(work, settings=settings))
-    registry = work.select("slot", "key", "title", "kind", "source", "input_sig")
-    loaded = ingest(chunks, registry, store, force=force, limit=limit, encoder=encoder)
+    registry = documents.join(small(changed), "key").select("slot", "key", "title", "kind", "source", "input_sig")
+    loaded = ingest(stages.passages(changed), registry, store, force=force, limit=limit, encoder=encoder)
     same = changed.join(loaded, "key", "left_anti")
     if not limit and not same.isEmpty():
         # other input, same chunks: only the stamp changes

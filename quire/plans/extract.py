@@ -12,6 +12,7 @@ from quire.functions.frames import durable, small
 from quire.operators import maintenance as M
 from quire.operators import registry as G
 from quire.sources import pages as P
+from quire.sources.files import content_hashes, located
 
 c = F.col
 WHOLE = 1 << 30  # a document that is a whole file ends at its last page
@@ -24,15 +25,16 @@ def extract(
     """``key, text`` of the documents read anew, the report, and the registry with file hashes.
 
     A document is read if it has no text, if its file changed since, or by
-    force. Work goes by file, which is hashed and opened once for all of its
-    articles, and only pages that one of them asks for are read. The report has
+    force. Work goes by file, hashed by blocks and opened for all of its articles
+    together; only pages that one of them asks for are read. A file with a page
+    that fails gives no text at all, and its documents are tried again by the
+    next run. The report has
     ``key, status, detail``: cached, adopted, no pdf, MISSING, NO TEXT LAYER,
     failed or extracted.
     """
-    spark = registry.sparkSession
     wanted = M.only(registry, keys)
-    listed = P._listing(spark, root, "*").join(small(wanted.select(c("pdf").alias("path")).distinct()), "path", "left_semi")
-    hashes = durable(listed.select(c("path").alias("pdf"), F.md5("content").alias("file_hash")))
+    listed = located(wanted.select(c("pdf").alias("path")), root)
+    hashes = durable(content_hashes(listed).select(c("path").alias("pdf"), "file_hash"))
     have = texts.select("key").distinct().withColumn("has_text", F.lit(True))
     rows = durable(
         wanted.join(hashes, "pdf", "left").join(have, "key", "left")
@@ -42,7 +44,7 @@ def extract(
         "key", "pdf", "title", "pages", "page_offset",
         F.coalesce(c("pages.lo"), F.lit(1)).alias("lo"), F.coalesce(c("pages.hi"), F.lit(WHOLE)).alias("hi")))
     asked = pending.groupBy(c("pdf").alias("path")).agg(F.collect_set(F.struct("lo", "hi")).alias("wanted"))
-    read = durable(P.read_pages(asked, root, engine))
+    read = P.read_pages(asked, root, engine)  # all pages of a file, or its error
     good = read.filter("error is null")
     whole = pending.filter(c("hi") == WHOLE).select("key", "pdf")
     parts = pending.filter(c("hi") < WHOLE).select("key", "pdf", "page_offset", "lo", "hi")

@@ -4,37 +4,28 @@ from __future__ import annotations
 
 import shutil
 import subprocess
-import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager, contextmanager
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.functions import text as T
-from quire.functions.frames import durable, small
+from quire.functions.frames import durable, small, stored
 from quire.operators import pages as P
+from quire.sources.files import BLOCK, Source, listing, located, spread
 
-def _listing(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", suffix)
-        .load(root)
-    )
-    # paths come back in full; what stands behind the root is kept, compared as plain text
-    where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/") + "/"
-    behind = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1)))
-    return files.withColumn("path", F.coalesce(behind, "path"))
+c = F.col
+SHARE = 64 << 20  # bytes of a file whose pages one task reads
 
 
 def scan_files(spark: SparkSession, root: str, suffix: str = "*.pdf") -> DataFrame:
     """``path, length`` of the files below ``root``; contents are not read."""
-    return _listing(spark, root, suffix).select("path", "length")
+    return listing(spark, root, suffix).select("path", "length")
 
 
 class OpenFile(Protocol):
@@ -53,11 +44,11 @@ class OpenFile(Protocol):
         ...
 
 
-Engine = Callable[[bytes], AbstractContextManager]
+Engine = Callable[[Source], AbstractContextManager]
 
 
 @contextmanager
-def open_with_pymupdf(data: bytes) -> Iterator[OpenFile]:
+def open_with_pymupdf(source: Source) -> Iterator[OpenFile]:
     import pymupdf
 
     class Opened:
@@ -77,113 +68,154 @@ def open_with_pymupdf(data: bytes) -> Iterator[OpenFile]:
                 for b in blocks for line in b.get("lines", []) for s in line["spans"]
             ]
 
-    with pymupdf.open(stream=data, filetype="pdf") as doc:
+    with source.local() as name, pymupdf.open(name, filetype="pdf") as doc:
         yield Opened(doc)
 
 
 @contextmanager
-def open_with_pdftotext(data: bytes) -> Iterator[OpenFile]:
-    """Text only; the file is written to the task's own folder for the program to read."""
+def open_with_pdftotext(source: Source) -> Iterator[OpenFile]:
+    """Text only, page by page."""
     if not shutil.which("pdftotext"):
         raise RuntimeError("pdftotext is not on PATH")
-    with tempfile.NamedTemporaryFile(suffix=".pdf") as f:
-        f.write(data)
-        f.flush()
-        done = subprocess.run(["pdftotext", "-layout", f.name, "-"], check=True, capture_output=True)
-    pages = done.stdout.decode("utf-8", "replace").removesuffix("\f").split("\f")
+    with source.local() as name:
+        told = subprocess.run(["pdfinfo", name], check=True, capture_output=True).stdout.decode("utf-8", "replace")
 
-    class Opened:
-        page_count = len(pages)
+        class Opened:
+            page_count = int(next(x.split(":")[1] for x in told.splitlines() if x.startswith("Pages:")))
 
-        def text(self, page: int) -> str:
-            return pages[page - 1]
+            def text(self, page: int) -> str:
+                done = subprocess.run(["pdftotext", "-layout", "-f", str(page), "-l", str(page), name, "-"], check=True, capture_output=True)
+                return done.stdout.decode("utf-8", "replace").removesuffix("\f")
+
+            def toc(self) -> list:
+                return []
+
+            def spans(self, page: int) -> list:
+                return []
+
+        yield Opened()
+
+
+@contextmanager
+def open_formfeed(source: Source) -> Iterator[OpenFile]:
+    """Plain text whose pages end in form feeds; a page is read where it stands, the rest is passed over in blocks."""
+    with source.open() as file:
+        ends, at = [0], 0
+        while block := file.read(BLOCK):
+            ends += (np.flatnonzero(np.frombuffer(block, np.uint8) == 12) + at + 1).tolist()
+            at += len(block)
+        if at > ends[-1]:
+            ends.append(at + 1)
+
+        class Opened:
+            page_count = len(ends) - 1
+
+            def text(self, page: int) -> str:
+                file.seek(ends[page - 1])
+                return file.read(ends[page] - ends[page - 1] - 1).decode("utf-8", "replace")
 
-        def toc(self) -> list:
-            return []
+            def toc(self) -> list:
+                return []
 
-        def spans(self, page: int) -> list:
-            return []
+            def spans(self, page: int) -> list:
+                return []
 
-    yield Opened()
+        yield Opened()
 
 
-ENGINES: dict[str, Engine] = {"pymupdf": open_with_pymupdf, "pdftotext": open_with_pdftotext}
+ENGINES: dict[str, Engine] = {"pymupdf": open_with_pymupdf, "pdftotext": open_with_pdftotext, "formfeed": open_formfeed}
 STRUCTURE = (
     "path string, page_count int, toc array<struct<ord:int,level:int,title:string,page:int>>, "
     "heads array<struct<page:int,text:string,spans:array<struct<size:double,x:double,y:double,text:string>>>>, error string"
 )
 
 
-def _contents(files: DataFrame, root: str) -> DataFrame:
-    """``path`` and the bytes of the wanted files, read by Spark: any file system it knows will do.
+def engine_of(engine: str | Engine) -> Engine:
+    return ENGINES[engine] if isinstance(engine, str) else engine
 
-    The list of files is matched against the listing of the folder, so only
-    wanted files are opened.
-    """
-    spark = files.sparkSession
-    listed = _listing(spark, root, "*")
-    return listed.join(small(files.select("path").distinct()), "path", "left_semi").select("path", "content")
 
+def read_structure(files: DataFrame, root: str, engine: str | Engine = "pymupdf") -> DataFrame:
+    """``path, page_count, toc, heads, error`` of the files that ``path`` names, each opened once.
 
-def _per_file(engine: str | Engine, found: Callable, columns: list[str], schema: str) -> Callable[[DataFrame], DataFrame]:
-    opened = ENGINES[engine] if isinstance(engine, str) else engine
+    ``heads`` has text and type of page one and of the pages that the outline
+    points to at its top level: what titles and folios are found in. A file
+    that cannot be read gives one row with the error.
+    """
+    opened = engine_of(engine)
+
+    def found(file: OpenFile) -> tuple:
+        toc = [(i, level, title, page) for i, (level, title, page) in enumerate(file.toc())]
+        top = min((x[1] for x in toc), default=0)
+        pages = sorted({1} | {p for _, level, _, p in toc if level == top and p and 0 < p <= file.page_count})
+        return file.page_count, toc, [(p, file.text(p), file.spans(p)) for p in pages if p <= file.page_count]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                rows: list[tuple] = []
                 try:
-                    with opened(row.content) as file:
-                        for x in found(file, row):
-                            rows.append((row.path, *x, None))
-                            if len(rows) == 64:
-                                yield pd.DataFrame(rows, columns=columns)
-                                rows = []
+                    with opened(Source(row.uri)) as file:
+                        out = (row.path, *found(file), None)
                 except Exception as exc:  # noqa: BLE001 - reported per file
-                    rows.append((row.path, *[None] * (len(columns) - 2), f"{type(exc).__name__}: {exc}"))
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                    out = (row.path, None, None, None, f"{type(exc).__name__}: {exc}")
+                yield pd.DataFrame([out], columns=["path", "page_count", "toc", "heads", "error"])
 
-    return lambda df: df.mapInPandas(run, schema)
+    return spread(located(files, root), "length", "path").mapInPandas(run, STRUCTURE)
 
 
-def read_structure(files: DataFrame, root: str, engine: str | Engine = "pymupdf") -> DataFrame:
-    """``path, page_count, toc, heads, error`` of files, each opened once.
+def shares(files: DataFrame, share: int = SHARE) -> DataFrame:
+    """``files`` (with ``length``), a row for each ``part`` of ``parts``, so that a part is about ``share`` bytes."""
+    parts = F.greatest(F.lit(1).cast("long"), F.ceil(c("length") / share))
+    return files.withColumn("parts", parts).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
 
-    ``heads`` has text and type of page one and of the pages that the outline
-    points to at its top level: what titles and folios are found in.
-    """
 
-    def found(file: OpenFile, _) -> Iterator[tuple]:
-        toc = [(i, level, title, page) for i, (level, title, page) in enumerate(file.toc())]
-        top = min((x[1] for x in toc), default=0)
-        pages = sorted({1} | {p for _, level, _, p in toc if level == top and p and 0 < p <= file.page_count})
-        heads = [(p, file.text(p), file.spans(p)) for p in pages if p <= file.page_count]
-        yield file.page_count, toc, heads
+def own_pages(wanted: list[tuple[int, int]] | None, page_count: int, part: int, parts: int) -> list[int]:
+    """The pages of one part: the wanted ones in order, dealt out in runs of equal length."""
+    pages = range(1, page_count + 1)
+    if wanted is not None:
+        pages = sorted({p for lo, hi in wanted for p in range(max(1, lo), min(hi, page_count) + 1)})
+    return list(pages[len(pages) * part // parts:len(pages) * (part + 1) // parts])
 
-    return _per_file(engine, found, ["path", "page_count", "toc", "heads", "error"], STRUCTURE)(_contents(files, root))
 
-
-def read_pages(files: DataFrame, root: str, engine: str | Engine = "pymupdf") -> DataFrame:
-    """``pdf, page, text, error`` for rows of ``path[, wanted]``, each file opened once.
+def read_pages(files: DataFrame, root: str, engine: str | Engine = "pymupdf", share: int | None = None) -> DataFrame:
+    """``pdf, page, text, error`` for rows of ``path[, wanted]``: a file's pages, or one row with its error.
 
     ``wanted`` is an array of page ranges ``lo, hi``; without it all pages are
-    read. A file that cannot be read gives one row with the error instead of
-    ending the job.
+    read. Only the files asked for are opened, in the tasks, and a large file is
+    dealt out: each of its parts opens it for itself and reads a run of its
+    pages. A page that cannot be read fails the file as a whole: none of its
+    pages is given, whichever task read them.
     """
-    contents = _contents(files, root)
+    opened, share = engine_of(engine), share or SHARE
+    found = located(files, root)
     if "wanted" in files.columns:
-        contents = contents.join(small(files.select("path", "wanted")), "path")
+        found = found.join(small(files.select("path", "wanted")), "path")
+    else:
+        found = found.withColumn("wanted", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
+    parts = shares(found, share).withColumn("size", F.floor(c("length") / c("parts")))
+    columns = ["pdf", "page", "text", "error"]
 
-    def found(file: OpenFile, row) -> Iterator[tuple]:
-        ranges = getattr(row, "wanted", None)
-        pages = range(1, file.page_count + 1)
-        if ranges is not None:
-            pages = sorted({p for r in ranges for p in range(max(1, r["lo"]), min(r["hi"], file.page_count) + 1)})
-        for p in pages:
-            yield p, file.text(p)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                rows: list[tuple] = []
+                try:
+                    with opened(Source(row.uri)) as file:
+                        wanted = None if row.wanted is None else [(r["lo"], r["hi"]) for r in row.wanted]
+                        for p in own_pages(wanted, file.page_count, row.part, row.parts):
+                            rows.append((row.path, p, file.text(p), None))
+                            if len(rows) == 64:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows = []
+                except Exception as exc:  # noqa: BLE001 - reported per file
+                    rows.append((row.path, None, None, f"{type(exc).__name__}: {exc}"))
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
 
-    return _per_file(engine, found, ["pdf", "page", "text", "error"], schemas.PAGES + ", error string")(contents)
+    dealt = spread(parts, "size", "path", "part", task=2 * share)
+    read = stored(dealt.mapInPandas(run, schemas.PAGES + ", error string"), "pages")
+    failed = read.where("error is not null").groupBy("pdf").agg(F.min("error").alias("error"))
+    whole = read.where("error is null").join(small(failed.select("pdf")), "pdf", "left_anti")
+    return whole.unionByName(failed.select("pdf", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), "error"))
 
 
 def formfeed_pages(texts: DataFrame) -> DataFrame:
@@ -227,7 +259,7 @@ def read_marked_text(spark: SparkSession, path: str, registry: DataFrame | None
     if registry is None:
         return spark.read.schema("key string, text string").parquet(path)
     name = F.coalesce(F.col("text"), F.concat("key", F.lit(".txt"))).alias("path")
-    files = _listing(spark, path, "*").select("path", F.col("content").cast("string").alias("text"))
+    files = listing(spark, path).select("path", F.col("content").cast("string").alias("text"))
     return files.join(small(registry.select("key", name)), "path").select("key", "text")
 
 

@@ -1,4 +1,10 @@
-"""The document registry as JSON: one object with a document map, or one line per document."""
+"""The document registry: a table split by key, with a single JSON object to bring it in and take it out.
+
+The table is Parquet, partitioned by a hash of the key; a save rewrites the
+partitions that hold a row that changed. A path that ends in ``.json`` is the
+object instead, which passes through the driver and is meant for small
+registries that people edit.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +16,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire import schemas
 from quire.config import DEFAULTS, Settings
+from quire.functions.frames import stored
+from quire.sources.store import overwrite_shards, read_table
+
+SHARDS = 256  # partitions of a registry table
 
 _DOCUMENT = (
     "pdf string, title string, kind string, source string, slot bigint, text string, pages array<int>, "
@@ -22,12 +33,11 @@ _DOCUMENT = (
 
 
 def read_settings(path: str) -> Settings:
-    """Defaults overlaid with what the registry object sets itself."""
-    file = Path(path)
+    """Defaults overlaid with what the registry object, or the one beside the registry table, sets itself."""
+    file = Path(path if is_object(path) else f"{path.rstrip('/')}.json")
     given = json.loads(file.read_text(encoding="utf-8")) if file.exists() else {}
-    known = {"collection": given.get("collection"), "banner_patterns": given.get("banner_patterns")}
-    changes = {k: tuple(v) if isinstance(v, list) else v for k, v in known.items() if v is not None}
-    return replace(DEFAULTS, **changes)
+    patterns = given.get("banner_patterns")
+    return DEFAULTS if patterns is None else replace(DEFAULTS, banner_patterns=tuple(patterns))
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -72,8 +82,38 @@ def write_registry_file(registry: DataFrame, path: str) -> None:
     os.replace(out.name, file)
 
 
+def is_object(path: str) -> bool:
+    return path.endswith(".json")
+
+
+def open_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Registry rows of the table or object at ``path``, none if there is none."""
+    if not is_object(path):
+        return read_table(spark, path, schemas.REGISTRY + ", shard int").where("key is not null").drop("shard")
+    return read_registry(spark, path) if Path(path).exists() else spark.createDataFrame([], schemas.REGISTRY)
+
+
+def save_registry(registry: DataFrame, path: str, shards: int = SHARDS) -> None:
+    """Makes the table or object at ``path`` hold ``registry``, which may depend on what it holds now."""
+    if is_object(path):
+        return write_registry_file(registry, path)
+    columns = StructType.fromDDL(schemas.REGISTRY).names
+    rows = stored(registry.select(*columns).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")), "registry")
+    before = read_table(registry.sparkSession, path, schemas.REGISTRY + ", shard int").where("key is not null")
+
+    def signed(df: DataFrame) -> DataFrame:
+        return df.select("shard", F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).alias("row"))
+
+    sums = [signed(x).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("sum")) for x in (rows, before)]
+    changed = sums[0].exceptAll(sums[1]).unionByName(sums[1].exceptAll(sums[0])).select("shard").distinct()
+    touched = [r[0] for r in changed.collect()]  # at most one per shard
+    if touched:
+        overwrite_shards(path, rows.where(F.col("shard").isin(touched)), touched, "key")
+    return None
+
+
 def write_registry(registry: DataFrame, path: str) -> None:
-    """One JSON line per document, which a registry of any size can be kept in."""
+    """One JSON line per document, for other programs to read."""
     registry.write.mode("overwrite").json(path)
 
 

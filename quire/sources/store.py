@@ -1,29 +1,59 @@
-"""The index on disk: points and manifest as Parquet tables in one folder.
+"""The index on disk: points and manifest, each one Parquet table partitioned by shard.
 
-Points are partitioned by a hash of their document's slot, which is the high
-part of every id: replacing a few documents rewrites only their shards, and a
-read by document or by id names the shards it needs. Inside a shard rows are
-sorted by id, in files of a bounded number of rows.
+A shard is a hash of a document's slot, which is the high part of every id:
+replacing a few documents overwrites only their partitions (Spark's dynamic
+partition overwrite, which exchanges them when the job commits), and a read by
+document or by id names the partitions it needs. Inside a shard rows are sorted
+by id, in files of a bounded number of rows.
 
-A table is replaced by writing a new version beside the old one and switching a
-pointer file, which the file system does in one step: a crash leaves the old
-version or the new one. The version before stays for readers under way.
+A dynamic overwrite leaves a partition alone that it writes no row to, so a
+shard whose last document went is written with one row without id, which reads
+pass over.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import schemas
 from quire.config import DEFAULTS
-from quire.functions.frames import small
+from quire.functions.frames import small, stored
 from quire.operators import maintenance as M
 
 ROWS_PER_FILE = 250_000
+SHARD = ", shard int"
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, without rows if there is none."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def overwrite_shards(path: str, rows: DataFrame, touched: list[int], order: str, parts: int = 1, held: DataFrame | None = None) -> None:
+    """The shards ``touched`` of the table at ``path`` become ``rows``, a file or a few (``parts``) each.
+
+    A task writes the files of its shards one after the other. A touched shard
+    without rows gets one whose columns are null; ``held`` (``shard``) says
+    which have rows, where that is known without making them.
+    """
+    marks = rows.sparkSession.createDataFrame([(s,) for s in touched], "shard int")
+    nothing = marks.join((rows if held is None else held).select("shard").distinct(), "shard", "left_anti").select(
+        *(F.lit(None).cast(t).alias(n) if n != "shard" else F.col("shard") for n, t in rows.dtypes))
+    (
+        rows.unionByName(nothing).withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)) if parts > 1 else F.lit(0))
+        .repartition("shard", "_part").sortWithinPartitions("shard", order).drop("_part")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
+        .partitionBy("shard").parquet(path)
+    )
 
 
 class Store:
@@ -39,55 +69,18 @@ class Store:
         kept = self._read("layout", "shards int").first()
         self.shards = kept["shards"] if kept else shards
 
-    def _keep_layout(self) -> None:
-        if not self.exists("layout"):
-            self._swap("layout", self.spark.createDataFrame([(self.shards,)], "shards int").coalesce(1))
-
-    def _fs(self, name: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def _version(self, name: str) -> str | None:
-        """The folder that holds the current version of a table."""
-        fs, where = self._fs(f"{name}.current")
-        if not fs.exists(where):
-            return None
-        stream = fs.open(where)
-        try:
-            return stream.readLine()
-        finally:
-            stream.close()
-
-    def _switch(self, name: str, folder: str) -> None:
-        """Make ``folder`` the current version, in one step; versions older than the last go."""
-        before = self._version(name)
-        fs, pointer = self._fs(f"{name}.current")
-        _, fresh = self._fs(f"{folder}.pointer")
-        stream = fs.create(fresh, True)
-        stream.writeBytes(folder + "\n")
-        stream.close()
-        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
-        overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            pointer.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, pointer, overwrite)
-        _, top = self._fs("")
-        for x in fs.listStatus(top):
-            if x.getPath().getName().startswith(f"{name}-") and x.getPath().getName() not in (folder, before):
-                fs.delete(x.getPath(), True)
-
-    def exists(self, name: str) -> bool:
-        return self._version(name) is not None
-
     def _read(self, name: str, schema: str) -> DataFrame:
-        folder = self._version(name)
-        if folder is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+        return read_table(self.spark, f"{self.path}/{name}", schema)
+
+    def _keep_layout(self) -> None:
+        if self._read("layout", "shards int").isEmpty():
+            self.spark.createDataFrame([(self.shards,)], "shards int").coalesce(1).write.mode("append").parquet(f"{self.path}/layout")
 
     def _sharded(self) -> DataFrame:
-        return self._read("points", schemas.POINTS + ", shard int")
+        return self._read("points", schemas.POINTS + SHARD).where("id is not null")
+
+    def _manifest(self) -> DataFrame:
+        return self._read("manifest", schemas.MANIFEST + SHARD).where("slot is not null")
 
     def points(self, slots: Iterable[int] | None = None) -> DataFrame:
         """All points, or those of the shards that hold the given slots."""
@@ -112,7 +105,7 @@ class Store:
         return self._sharded().filter(F.col("shard").isin(shards)).drop("shard")
 
     def manifest(self) -> DataFrame:
-        return self._read("manifest", schemas.MANIFEST)
+        return self._manifest().drop("shard")
 
     def count(self) -> int:
         return self.points().count()
@@ -123,33 +116,18 @@ class Store:
     def _with_shard(self, points: DataFrame) -> DataFrame:
         return points.withColumn("shard", self.shard_of(F.floor(F.col("id") / DEFAULTS.id_stride)))
 
-    def _write(self, rows: DataFrame, n: int, folder: str, dynamic: bool) -> None:
-        """Rows with their shard, about ``n`` of them, a file or a few per shard.
-
-        A shard's documents go to as many tasks as it needs files; a task
-        writes the files of its shards one after the other.
-        """
-        files = max(1, -(-n // (self.shards * ROWS_PER_FILE)))
-        writer = (
-            rows.withColumn("_part", F.pmod(F.floor(F.col("id") / DEFAULTS.id_stride), F.lit(files)))
-            .repartition("shard", "_part").sortWithinPartitions("shard", "id").drop("_part")
-            .write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE)
-        )
-        if dynamic:
-            writer = writer.option("partitionOverwriteMode", "dynamic")
-        else:
-            writer = writer.option("partitionOverwriteMode", "static")
-        writer.partitionBy("shard").parquet(f"{self.path}/{folder}")
+    def _overwrite(self, name: str, rows: DataFrame, touched: list[int], order: str, parts: int = 1) -> None:
+        overwrite_shards(f"{self.path}/{name}", rows, touched, order, parts)
 
     def replace(
         self, documents: DataFrame, fresh: DataFrame, gone: DataFrame | None = None, rows: int | None = None,
     ) -> None:
         """Exchange every point of ``documents`` (``book, slot``) for ``fresh`` ones.
 
-        ``gone`` names those of them that have no fresh points, ``rows`` says
-        how many fresh ones there are. Only the shards of the documents, old
-        and new, are read and rewritten. The old files go when the job commits,
-        so a lost executor or a failed job loses nothing.
+        ``rows`` says how many fresh ones there are; ``gone``, the documents
+        without any, needs no treatment of its own. Only the shards of the
+        documents, old and new, are read and rewritten. The old files go when
+        the job commits, so a lost executor or a failed job loses nothing.
         """
         books = documents.select("book").distinct()
         slots = documents.select(F.col("slot").alias("slot")).unionByName(
@@ -160,62 +138,41 @@ class Store:
         self._keep_layout()
         rest = self._sharded().filter(F.col("shard").isin(touched)).join(small(books), "book", "left_anti")
         n = (fresh.count() if rows is None else rows) + rest.select("id").count()
-        folder = self._version("points")
-        new = folder is None
-        folder = folder or f"points-{uuid.uuid4().hex}"
-        # the estimate is for the touched shards only
-        self._write(rest.unionByName(self._with_shard(fresh)), -(-n * self.shards // len(touched)), folder, dynamic=True)
-        if new:
-            self._switch("points", folder)
-        if gone is not None:
-            self._drop_emptied(gone)
-
-    def _drop_emptied(self, books: DataFrame) -> None:
-        """Delete shards that still hold removed books.
-
-        An overwrite by partition does not touch a partition it writes no row
-        to, so these are the shards that held nothing else.
-        """
-        left = self._sharded().join(small(books.select("book").distinct()), "book", "left_semi")
-        for row in left.select("shard").distinct().collect():
-            fs, where = self._fs(f"{self._version('points')}/shard={row['shard']}")
-            fs.delete(where, True)
+        self._overwrite("points", rest.unionByName(self._with_shard(fresh)), touched, "id", -(-n // (len(touched) * ROWS_PER_FILE)))
 
     def write_manifest(self, rows: DataFrame) -> None:
-        """Manifest rows by slot, the last write winning."""
-        self._swap("manifest", M.upsert(self.manifest(), rows.select(*self.manifest().columns), ["slot"]))
-
-    def _swap(self, name: str, rows: DataFrame) -> None:
-        """Write a new version of a table and switch to it."""
-        folder = f"{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{folder}")
-        self._switch(name, folder)
+        """Manifest rows by slot, the last write winning; only their shards are rewritten."""
+        self._keep_layout()
+        fresh = rows.select(*self.manifest().columns).withColumn("shard", self.shard_of(F.col("slot")))
+        touched = [r[0] for r in fresh.select("shard").distinct().collect()]
+        if touched:
+            before = self._manifest().filter(F.col("shard").isin(touched))
+            self._overwrite("manifest", M.upsert(before, fresh, ["slot"]), touched, "slot")
 
     def remove(self, keys: DataFrame) -> None:
         """Delete the points and manifest rows of documents (column ``key``)."""
-        books = self.manifest().join(keys.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("book"), "slot")
-        if self.exists("points"):
-            self.replace(books, self.points().limit(0), gone=books, rows=0)
-        if self.exists("manifest"):
-            self._swap("manifest", M.remove_documents(self.manifest(), keys, "key"))
+        gone = stored(self._manifest().join(small(keys.select("key").distinct()), "key", "left_semi").select("key", "slot", "shard"), "gone")
+        touched = [r[0] for r in gone.select("shard").distinct().collect()]
+        if not touched:
+            return
+        books = gone.select(F.col("key").alias("book"), "slot")
+        self.replace(books, self.points().limit(0), rows=0)
+        rest = self._manifest().filter(F.col("shard").isin(touched))
+        self._overwrite("manifest", M.remove_documents(rest, keys, "key"), touched, "slot")
 
     def drop(self) -> None:
-        """Forget everything, for a build from scratch."""
-        for name in ("points", "manifest", "layout"):
-            fs, pointer = self._fs(f"{name}.current")
-            folder = self._version(name)
-            fs.delete(pointer, False)
-            if folder:
-                fs.delete(self._fs(folder)[1], True)
+        """Forget everything, for a build from scratch: each table is overwritten by one without rows."""
+        for name, schema in (("points", schemas.POINTS + SHARD), ("manifest", schemas.MANIFEST + SHARD), ("layout", "shards int")):
+            writer = self.spark.createDataFrame([], schema).write.mode("overwrite").option("partitionOverwriteMode", "static")
+            (writer.partitionBy("shard") if "shard int" in schema else writer).parquet(f"{self.path}/{name}")
 
     def copy_to(self, other: Store) -> tuple[int, int]:
         """Copy all points and manifest rows; safe to repeat. Gives both counts."""
         points, manifest = self.points(), self.manifest()
         n = points.count()
-        if self.exists("points"):
+        if n:
             other._keep_layout()
-            folder = f"points-{uuid.uuid4().hex}"
-            other._write(other._with_shard(M.copy_into(points, other.points())), n + other.count(), folder, dynamic=False)
-            other._switch("points", folder)
+            both = other._with_shard(M.copy_into(points, other.points()))
+            other._overwrite("points", both, [], "id", -(-(n + other.count()) // (other.shards * ROWS_PER_FILE)))
         other.write_manifest(manifest)
         return n, manifest.count()

@@ -23,8 +23,9 @@ class FakeEngine:
     'TOC level page: title' lines.
     """
 
-    def __init__(self, data):
-        self.pages = data.decode().split("\f")
+    def __init__(self, source):
+        with source.open() as file:
+            self.pages = file.read().decode().split("\f")
         if self.pages == ["bad"]:
             raise ValueError("broken")
         self.page_count = len(self.pages)
@@ -36,6 +37,8 @@ class FakeEngine:
         return None
 
     def text(self, page):
+        if self.pages[page - 1] == "bad page":
+            raise ValueError("bad page")
         return self.pages[page - 1]
 
     def _marked(self, page, word):

@@ -64,7 +64,10 @@ def test_prefix_sum_splits_a_hot_key(spark):
     assert ranges.filter("k = 'hot'").select("p").distinct().count() > 2
 
 
-def test_unique_keys_with_a_hot_base(spark):
+@pytest.mark.parametrize("turns", [50_000, 300, 0])
+def test_unique_keys_with_a_hot_base(spark, monkeypatch, turns):
+    """Named in turn, in rounds, and some of both."""
+    monkeypatch.setattr(G, "TURNS", turns)
     rng = random.Random(8)
     wanted = [(f"{i:06d}", rng.choice(["doc", "doc", "doc", "a", "a_2", ""])) for i in range(900)]
     taken = [("doc",), ("doc_2",), ("doc_5",), ("a_3",), ("doc_007",)]

@@ -28,7 +28,7 @@ def store(spark, tmp_path):
 
 
 def files(store, tmp_path):
-    return sorted(p for p in (tmp_path / "index").rglob("points-*/shard=*/part-*.parquet"))
+    return sorted(p for p in (tmp_path / "index").rglob("points/shard=*/part-*.parquet"))
 
 
 def test_one_file_per_shard_whatever_the_number_of_documents(spark, store, tmp_path):
@@ -68,28 +68,45 @@ def test_a_document_that_moves_to_another_slot_leaves_no_rows(spark, store):
     assert {r["id"] >> 20 for r in store.points().filter("book = 'd3'").collect()} == {77}
 
 
-def test_a_crash_before_the_switch_keeps_the_old_version(spark, store, monkeypatch):
+def test_a_job_that_fails_keeps_the_old_rows(spark, store):
     load(store, spark, range(5))
     before = sorted(map(tuple, store.manifest().collect()))
-
-    def crash(*_):
-        raise RuntimeError("lost")
-
-    with monkeypatch.context() as m:
-        m.setattr(S.Store, "_switch", crash)
-        with pytest.raises(RuntimeError):
-            store.write_manifest(manifest(spark, [9]))
-        with pytest.raises(RuntimeError):
-            S.Store(spark, store.path + "-other").copy_to(store) if False else store.copy_to(store)
+    bad = points(spark, [2, 9]).withColumn("text", F.when(F.col("book") == "d9", F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lost"):
+        store.replace(spark.createDataFrame([("d2", 2), ("d9", 9)], "book string, slot bigint"), bad, rows=10)
     again = S.Store(spark, store.path)
     assert sorted(map(tuple, again.manifest().collect())) == before and again.count() == 25
     again.write_manifest(manifest(spark, [9]))
     assert again.manifest().count() == 6
 
 
-def test_old_versions_go(spark, store, tmp_path):
-    for s in range(4):
-        load(store, spark, [s])
-    assert len(list((tmp_path / "index").glob("manifest-*"))) <= 2
-    store.drop()
+def test_shards_are_kept_emptied_and_forgotten(spark, store):
+    load(store, spark, range(12))
+    assert S.Store(spark, store.path, shards=99).shards == 4
+    keys = spark.createDataFrame([(f"d{s}",) for s in range(12)], "key string")
+    store.remove(keys.limit(0))
+    assert store.count() == 60
+    store.remove(keys.filter("key <> 'd5'"))
+    assert {r["book"] for r in store.points().collect()} == {"d5"} and [r["key"] for r in store.manifest().collect()] == ["d5"]
+    store.remove(keys)
     assert store.count() == 0 and store.manifest().isEmpty()
+    load(store, spark, [3])
+    assert store.count() == 5 and store.manifest().count() == 1
+    store.drop()
+    assert store.count() == 0 and store.manifest().isEmpty() and S.Store(spark, store.path, shards=7).shards == 7
+
+
+def test_only_touched_partitions_are_rewritten(spark, store, tmp_path):
+    load(store, spark, range(60))
+    before = {p.parent.name: p.name for p in files(store, tmp_path)}
+    load(store, spark, [8])
+    after = {p.parent.name: p.name for p in files(store, tmp_path)}
+    assert sum(before[x] != after[x] for x in before) == 1
+
+
+def test_a_copy_is_safe_to_repeat(spark, store, tmp_path):
+    load(store, spark, range(9))
+    other = S.Store(spark, str(tmp_path / "other"), shards=3)
+    assert store.copy_to(other) == store.copy_to(other) == (45, 9)
+    assert sorted(map(str, other.points().collect())) == sorted(map(str, store.points().collect()))
+    assert S.Store(spark, str(tmp_path / "none")).copy_to(other) == (0, 0) and other.count() == 45
