@@ -232,7 +232,8 @@ ORACLES["content_hash"] = "select doc_id, md5(text) as hash from documents"
 ORACLES["trim_matter"] = text("trimmed", f"""
 select d.slot, d.dropped::int as dropped, coalesce(t.text, '') as text from dropped d left join ({whole('trimmed')}) t using (slot)""")
 ORACLES["normalize_text"] = text("lines0", """
-select slot, replace(replace(string_agg(line, chr(10) order by n), chr(64257), 'fi'), chr(8217), '''') as text
+select slot, replace(replace(string_agg(line, chr(10) order by n), chr(64257), 'fi'), chr(8217), '''') || '|' || (['''', '"', '"', '-', '-', '-', '-',
+  '', '', '', ' ', ' ', '''', 'ff', 'ffi', 'A', '1', '2', 'TM', chr(956), chr(197), 'IJ', ' ', '...', 'D' || chr(381), 'm3'])[slot % 26 + 1] || '|' as text
 from lines0 group by slot""")
 ORACLES["is_prose"] = f"""
 select doc_id, (n - 1)::int as n, coalesce({Q.prose('line')}, false) as prose,

@@ -403,9 +403,19 @@ def trim_matter(spark, d):
     return steps(spark, d).select("slot", c("_trim.dropped").alias("dropped"), P.join_pages(c("_trim.pages")).alias("text"))
 
 
+# Characters that are folded, deleted or decomposed, in the order of their expected forms in the SQL.
+ODD_CHARACTERS = (
+    0x2018, 0x201C, 0x201D, 0x2013, 0x2014, 0x2010, 0x2011, 0x00AD, 0x200B, 0xFEFF, 0x00A0, 0x2003, 0x2032,
+    0xFB00, 0xFB03, 0xFF21, 0x2460, 0x00B2, 0x2122, 0x00B5, 0x212B, 0x0132, 0x3000, 0x2026, 0x01C4, 0x33A5,
+)
+
+
 @query
 def normalize_text(spark, d):
-    return B.extracted(spark, d).select("slot", T.normalize(c("text")).alias("text"))
+    """All extracted texts, each with another odd character at its end."""
+    odd = F.array(*(F.lit(chr(x)) for x in ODD_CHARACTERS))
+    mark = F.element_at(odd, (c("slot") % len(ODD_CHARACTERS) + 1).cast("int"))
+    return B.extracted(spark, d).select("slot", T.normalize(F.concat("text", F.lit("|"), mark, F.lit("|"))).alias("text"))
 
 
 @query
