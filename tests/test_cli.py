@@ -3,6 +3,7 @@
 import json
 
 from quire.__main__ import main
+from quire.config import DEFAULTS
 from quire.sources import pages
 from quire.sources.registry_file import read_registry, read_registry_lines, read_settings, write_registry
 
@@ -40,9 +41,9 @@ def test_commands(spark, tmp_path, capsys):
 
 def test_registry_file(spark, tmp_path):
     file = tmp_path / "corpus.json"
-    file.write_text(json.dumps({"collection": "x", "documents": {"k": {"pdf": "i.pdf", "title": "T", "slot": 4, "pages": [3, 9], "skip_pages": [[1, 2], [5, 5]]}}}))
-    assert read_settings(str(file)).collection == "x"
-    assert read_settings(str(tmp_path / "none.json")).collection == "signal_integrity"
+    file.write_text(json.dumps({"banner_patterns": ["^B"], "documents": {"k": {"pdf": "i.pdf", "title": "T", "slot": 4, "pages": [3, 9], "skip_pages": [[1, 2], [5, 5]]}}}))
+    assert read_settings(str(file)).banner_patterns == ("^B",) and read_settings(str(tmp_path / "corpus")).banner_patterns == ("^B",)
+    assert read_settings(str(tmp_path / "none.json")) == DEFAULTS
     rows = read_registry(spark, str(file))
     row = rows.first()
     assert (row["pages"], row["skip_pages"], row["kind"], row["source"]) == ((3, 9), [(1, 2), (5, 5)], "book", "")
