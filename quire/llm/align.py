@@ -6,9 +6,9 @@ in order cut both id lists into groups, and each group links its tokens that
 end together. How often a pair of ids is linked is counted over the corpus, and
 each document is told how its links stand in these counts.
 
-A text is taken in units: a space and what follows, up to the next space that
-has no white space on either side. No token of either side reaches across such
-a space (``Tables`` refuses a vocabulary in which one could), so a unit's
+A text is taken in units: a space or line feed and what follows, up to the next
+one that has no white space on either side. No token of either side reaches
+across there (``Tables`` refuses a vocabulary in which one could), so a unit's
 groups do not depend on its neighbours, and a worker keeps those of units it
 has seen of late.
 """
@@ -18,9 +18,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,15 @@ from quire.llm.words import slices
 c = F.col
 SPACE = "▁"
 UNIT = re.compile(r"(?<=\S) (?=\S)")
-MEMO = 60_000  # units a worker remembers of late, and as many from before
+MEMO = 250_000  # units a worker remembers of late, and as many from before
 LONG = 64  # longer units are not remembered
 STEP = 1 << 20  # characters of one text that are cut into units at once
 RESULT = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, counts array<int>"
 SHIFT = 32  # a pair is the id of A, shifted, and the id of B
-NONE = (0, 0, 0, 0, "", ())
+NONE = (0, 0, 0, 0, "", b"")
+COUNTS, GROUPS, PAIRS = itemgetter(0), itemgetter(1), itemgetter(2)
+BITS = 40  # of each number in the counts of a unit: tokens of A, of B, groups, links
+LOW = (1 << BITS) - 1
 
 
 def letters() -> dict[str, int]:
@@ -71,76 +76,179 @@ class Tables:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece reaches across a space")
-        if any(" " in t.lstrip() for t in map(bytes.decode, self.bytes_a.values(), ["utf-8"] * len(self.bytes_a), ["replace"] * len(self.bytes_a))):
-            raise ValueError("a token reaches across a space")
+        spelled = [t.decode("utf-8", "replace").strip() for t in self.bytes_a.values()]
+        if any(" " in t or "\n" in t for t in spelled):
+            raise ValueError("a token reaches across a space or line feed")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def units(self, texts: list[str]) -> list[tuple]:
-        """The alignment of a space and each of the texts."""
-        a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.space = self.b.piece_to_id(SPACE)
+        self.lines = not any("\n" in p for p in pieces)  # a line feed is a byte of its own, and nothing merges with it
+        self.solid = all(self.bytes_a.values()) and all(self.bytes_b)  # every token has bytes
+        self.name_a = {i: str(i) for i in self.bytes_a}
+        self.name_b = [str(i) for i in range(len(pieces))]
+        self.new: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+
+    def units(self, texts: list[str], first: bool = False) -> list[tuple | None]:
+        """The alignment of each unit; one that begins with a line feed stands for itself, unless it is the ``first`` of a text."""
+        alone = [t[:1] == "\n" and not first for t in texts]
+        whole = [t if x else " " + t for t, x in zip(texts, alone, strict=True)]
         b = self.b.encode(texts, num_threads=1)
-        return [self.match((" " + t).encode(), x, y) for t, x, y in zip(texts, a, b, strict=True)]
+        # the library puts a space before every text, which before a line feed is a token of its own
+        b = [y[1:] if z and y[0] == self.space else y for y, z in zip(b, alone, strict=True)]
+        data = [t.encode() for t in whole]
+        odd = [i for i, t in enumerate(whole) if t[1:2].isspace() or t[-1:].isspace()] if self.solid else range(len(whole))
+        if len(odd) < len(whole):
+            apart = set(odd)
+            plain = [i for i in range(len(whole)) if i not in apart]
+            found = self.together([data[i] for i in plain], [b[i] for i in plain])
+            if found:
+                out: list[tuple | None] = [None] * len(whole)
+                for i, x in zip(plain, found, strict=True):
+                    out[i] = x
+                for i, x in zip(odd, self.a.encode_batch_fast([whole[i] for i in odd], add_special_tokens=False), strict=True):
+                    out[i] = self.match(data[i], x.ids, b[i])
+                return out
+        return [self.match(x, y.ids, z) for x, y, z in zip(data, self.a.encode_batch_fast(whole, add_special_tokens=False), b, strict=True)]
+
+    def together(self, data: list[bytes], b: list[list[int]]) -> list[tuple] | None:
+        """As ``match`` for many units at once, laid end to end as they may stand in a text; nothing if any of them is odd."""
+        text = b"".join(data)
+        flat_a = self.a.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
+        flat_b = list(chain.from_iterable(b))
+        parts_a, parts_b = list(map(self.bytes_a.__getitem__, flat_a)), list(map(self.bytes_b.__getitem__, flat_b))
+        if not b"".join(parts_a) == b"".join(parts_b) == text:
+            return None
+        index_a, index_b = ends(parts_a), ends(parts_b)
+        common = sorted(index_a.keys() & index_b.keys())
+        at = dict(zip(common, count(1), strict=False))
+        name_a, name_b = self.name_a, self.name_b
+        groups, pairs, i, j = [], [], 0, 0
+        for end in common:
+            next_a, next_b = index_a[end], index_b[end]
+            left = name_a[flat_a[i]] if next_a - i == 1 else ",".join([name_a[x] for x in flat_a[i:next_a]])
+            right = name_b[flat_b[j]] if next_b - j == 1 else ",".join([name_b[x] for x in flat_b[j:next_b]])
+            groups.append(f"{left}|{right}")
+            pairs.append(flat_a[next_a - 1] << SHIFT | flat_b[next_b - 1])
+            i, j = next_a, next_b
+        links = array("q", pairs).tobytes()
+        out, first, first_a = [], 0, 0
+        for end, y in zip(accumulate(map(len, data)), b, strict=True):
+            last = at.get(end)
+            if last is None:
+                return None  # a unit that does not end where tokens of both sides end
+            n, next_a = last - first, index_a[end]
+            out.append((next_a - first_a | len(y) << BITS | n << 2 * BITS | n << 3 * BITS, ";".join(groups[first:last]), links[8 * first:8 * last]))
+            first, first_a = last, next_a
+        return out
 
     def match(self, data: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """Numbers of tokens, groups and links, the groups as text, and the linked pairs; nothing if the bytes differ."""
+        """The numbers of tokens, groups and links, the groups as text, and the linked pairs; nothing if the bytes differ."""
         parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         if b"".join(parts_a) != data or b"".join(parts_b) != data:
             return None
         index_a, index_b = ends(parts_a), ends(parts_b)
-        common = sorted(index_a.keys() & index_b.keys())
+        name_a, name_b = self.name_a, self.name_b
         groups, pairs, i, j = [], [], 0, 0
-        for end in common:
-            first_a, next_a = index_a[end]
-            first_b, next_b = index_b[end]
-            groups.append(",".join(map(str, a[i:next_a])) + "|" + ",".join(map(str, b[j:next_b])))
-            pairs += [x << SHIFT | y for x in a[first_a:next_a] for y in b[first_b:next_b]]
+        for end in sorted(index_a.keys() & index_b.keys()):
+            next_a, next_b = index_a[end], index_b[end]
+            left = name_a[a[i]] if next_a - i == 1 else ",".join([name_a[x] for x in a[i:next_a]])
+            right = name_b[b[j]] if next_b - j == 1 else ",".join([name_b[x] for x in b[j:next_b]])
+            groups.append(f"{left}|{right}")
+            if self.solid:
+                pairs.append(a[next_a - 1] << SHIFT | b[next_b - 1])
+            else:
+                pairs += [x << SHIFT | y for x in last(a[i:next_a], self.bytes_a) for y in last(b[j:next_b], self.bytes_b)]
             i, j = next_a, next_b
-        return len(a), len(b), len(groups), len(pairs), ";".join(groups), tuple(pairs)
+        return len(a) | len(b) << BITS | len(groups) << 2 * BITS | len(pairs) << 3 * BITS, ";".join(groups), array("q", pairs).tobytes()
 
-    def seen(self, texts: list[str]) -> list[tuple | None]:
-        """As ``units``, with those that were met of late at hand."""
+    def seen(self, lists: list[list[str]]) -> list[list[tuple | None]]:
+        """As ``units`` for each list, with those that were met of late at hand."""
         new, old = self.new, self.old
-        fresh = []
-        for t in set(texts):
-            if t not in new:
-                if t in old:
-                    new[t] = old[t]
-                else:
-                    fresh.append(t)
-        found = dict(zip(fresh, self.units(fresh), strict=True)) if fresh else {}
-        out = [new[t] if t in new else found[t] for t in texts]
-        new.update((t, x) for t, x in found.items() if len(t) <= LONG)
+        ask = []
+        for t in set(chain.from_iterable(lists)).difference(new):
+            if t in old:
+                new[t] = old[t]
+            else:
+                ask.append(t)
+        if ask:
+            new.update(zip(ask, self.units(ask), strict=True))
+        out = [list(map(new.__getitem__, x)) for x in lists]
+        for t in ask:
+            if len(t) > LONG:
+                del new[t]
         if len(new) > MEMO:
             self.old, self.new = new, {}
         return out
 
-    def align(self, text: str | None) -> tuple:
-        if not text or SPACE in text:  # the sign stands for a space in pieces, so the bytes would differ
-            return NONE
-        whole = []
-        start = 0
-        while start < len(text):
-            found = UNIT.search(text, start + STEP) if start + STEP < len(text) else None
-            stop = found.start() if found else len(text)
-            part = self.seen(UNIT.split(text[start:stop]))
-            if None in part:
-                return NONE
-            whole += part
-            start = stop + 1
-        n_a, n_b, n_groups, n_links, groups, pairs = zip(*whole, strict=True)
-        return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(groups), tuple(chain.from_iterable(pairs))
-
-
-def ends(parts: list[bytes]) -> dict[int, tuple[int, int]]:
-    """For each end in bytes the first token that ends there and the one after the last; a token may be empty."""
-    out: dict[int, tuple[int, int]] = {}
-    end = 0
-    for i, x in enumerate(parts):
-        end += len(x)
-        out[end] = (out[end][0] if end in out else i, i + 1)
-    return out
+    def cut(self, text: str) -> list[str]:
+        """The units of a text, without the spaces in front of them."""
+        parts = (text.replace("\n", " \n") if self.lines else text).split(" ")
+        words = text.split()
+        if len(words) == len(parts) and sum(map(len, words)) + len(words) - 1 == len(text):
+            return parts  # no white space but single spaces and line feeds between words
+        out = [parts[0]]
+        for p in parts[1:]:
+            line = p[:1] == "\n" and self.lines
+            body = p[1:2] if line else p[:1]
+            if body and not body.isspace() and out[-1] and not out[-1][-1].isspace():
+                out.append(p)
+            else:
+                out[-1] += p if line else " " + p
+        return out
+
+    def align(self, texts: list[str | None]) -> list[tuple]:
+        """Numbers of tokens of A and B, groups and links, the groups as text, and the linked pairs, for each text."""
+        found: list[list[tuple | None]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def settle() -> None:
+            for (k, _), part in zip(waiting, self.seen([x for _, x in waiting]), strict=True):
+                found[k] += part
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            start = 0
+            # the sign stands for a space in pieces, so the bytes of a text that holds it would differ
+            while text and SPACE not in text and start < len(text):
+                cut = UNIT.search(text, start + STEP) if start + STEP < len(text) else None
+                stop = cut.start() if cut else len(text)
+                part = self.cut(text[start:stop])
+                if part[0][:1] == "\n":  # only at the start of a text
+                    found[k] += self.units(part[:1], first=True)
+                    part = part[1:]
+                waiting.append((k, part))
+                size += stop - start
+                if size > STEP:
+                    settle()
+                    size = 0
+                start = stop + 1
+        settle()
+        return [total(x) for x in found]
+
+
+def total(whole: list[tuple | None]) -> tuple:
+    """The alignment of a text from those of its units."""
+    if not whole:
+        return NONE
+    try:
+        n = sum(map(COUNTS, whole))
+    except TypeError:  # a unit without alignment
+        return NONE
+    return n & LOW, n >> BITS & LOW, n >> 2 * BITS & LOW, n >> 3 * BITS, ";".join(map(GROUPS, whole)), b"".join(map(PAIRS, whole))
+
+
+def ends(parts: list[bytes]) -> dict[int, int]:
+    """For each end in bytes the number of tokens up to there; the last one counts, should tokens be empty."""
+    return dict(zip(accumulate(map(len, parts)), count(1), strict=False))
+
+
+def last(ids: list[int], spelled: dict[int, bytes] | list[bytes]) -> list[int]:
+    """The tokens of a group that end where it ends: the last one, and the one before it as long as it is empty."""
+    n = 1
+    while not spelled[ids[-n]] and n < len(ids):
+        n += 1
+    return ids[-n:]
 
 
 @lru_cache(maxsize=1)
@@ -179,8 +287,8 @@ def align(docs: DataFrame, tokenizer: bytes, model: bytes, text: str = "text") -
         for b in batches:
             for first, last in slices(b.column("text"), 1 << 18):
                 part = b.slice(first, last - first)
-                found = [own.align(x) for x in part.column("text").to_pylist()]
-                linked = [np.unique(np.array(x[5], np.int64), return_counts=True) for x in found]
+                found = own.align(part.column("text").to_pylist())
+                linked = [np.unique(np.frombuffer(x[5], np.int64), return_counts=True) for x in found]
                 at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in linked])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc"), *(pa.array([x[k] for x in found], pa.int64()) for k in range(4)),
