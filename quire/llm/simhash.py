@@ -19,6 +19,15 @@ SEED = 42
 PIECE = 1 << 15  # shingles whose bits are counted at once
 
 
+def signature(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of unsigned 64-bit hashes as a signed long: a bit is set if over half of them have it."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), PIECE):
+        part = hashes[i:i + PIECE].astype("<u8", copy=False)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit SimHash of a text as a signed long.
 
@@ -32,12 +41,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     line, n = b" ".join(words), min(shingle, len(words))
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
-    spans = list(zip(starts, ends[n - 1:], strict=False))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(spans), PIECE):
-        hashes = np.array([xxh64_intdigest(line[a:b - 1], SEED) for a, b in spans[i:i + PIECE]], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view("<i8")[0])
+    spans = zip(starts, ends[n - 1:], strict=False)
+    return signature(np.fromiter((xxh64_intdigest(line[a:b - 1], SEED) for a, b in spans), "<u8"))
 
 
 def fingerprints(df: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -94,6 +99,17 @@ class BKTree:
                 stack += [edges[e] for e in range(d - radius, d + radius + 1) if e in edges]
 
 
+def near_matrix(values: np.ndarray, radius: int) -> np.ndarray:
+    """Which two of the fingerprints are within the radius; each distinct one is searched in the tree of those before it."""
+    distinct, of = np.unique(values.view(np.uint64), return_inverse=True)
+    tree, near = BKTree(), np.eye(len(distinct), dtype=bool)
+    for i, value in enumerate(distinct.tolist()):
+        for j in tree.within(value, radius):
+            near[i, j] = near[j, i] = True
+        tree.add(value)
+    return near[np.ix_(of, of)]
+
+
 def links(values: list[int], ids: list[int], asked: list[bool], radius: int) -> list[tuple[int, int]]:
     """Links that connect what a shard's fingerprints within the radius connect.
 

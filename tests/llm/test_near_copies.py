@@ -9,6 +9,7 @@ import pytest
 import corpus_pipeline
 from quire.llm import shared_shingles
 from quire.llm.shared_shingles import band_keys, shingles
+from quire.llm.simhash import near_matrix, signature
 
 
 def plain_set(text):
@@ -121,3 +122,29 @@ def test_chunks_of_a_crowd_meet(spark, sf, monkeypatch):
     rows = planted(8)[:200]
     got = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), sf).collect()]
     assert set(got) == plain_kept(rows)
+
+
+def test_candidates_come_from_the_trees(spark, sf, monkeypatch):
+    """Pairs of similarity 0.8 are within the radius, and what the trees do not find is not linked."""
+    rng = np.random.default_rng(3)
+    for n in (4, 8, 40, 400):
+        for _ in range(300):
+            x = rng.integers(0, 1 << 64, n + n // 4, np.uint64)
+            a, b = signature(x[:n]), signature(x)
+            assert ((a ^ b) & (1 << 64) - 1).bit_count() <= shared_shingles.RADIUS
+    values = rng.integers(0, 1 << 64, 90, np.uint64)
+    near = near_matrix(np.concatenate([values, values[:9]]).view(np.int64), 28)
+    both = np.concatenate([values, values[:9]]).tolist()
+    assert near.tolist() == [[(a ^ b).bit_count() <= 28 for b in both] for a in both]
+
+    asked = []
+
+    def none(prints, radius):
+        asked.append(len(prints))
+        return np.zeros((len(prints), len(prints)), bool)
+
+    sets = [np.arange(9, dtype=np.uint64), np.arange(10, dtype=np.uint64)]
+    prints, classes = np.array([signature(x) for x in sets]), np.array([0, 1])
+    assert shared_shingles.near_classes(sets, prints, classes, 0.8) == {(0, 1)}
+    monkeypatch.setattr(shared_shingles, "near_matrix", none)
+    assert shared_shingles.near_classes(sets, prints, classes, 0.8) == set() and asked == [2]
