@@ -7,13 +7,15 @@ JVM's defaults are ASCII and change between Java versions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import normalize as normalize_text
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quire.config import DEFAULTS
+from quire.functions.arrow import by_bytes
 from quire.functions.expr import bind
 
 # Code points that count as white space, newline apart.
@@ -150,10 +152,11 @@ def fold(c: Column) -> Column:
     return F.translate(c, FOLD_FROM, FOLD_TO)
 
 
-@F.pandas_udf(StringType())
-def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.str.normalize("NFKC")
+@F.arrow_udf(StringType())
+def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for part in by_bytes(batch):
+            yield pa.array([x if x is None else normalize_text("NFKC", x) for x in part.to_pylist()], pa.string())
 
 
 def normalize(c: Column) -> Column:
