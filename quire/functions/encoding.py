@@ -14,11 +14,12 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULTS
+from quire.functions.arrow import by_bytes
 
 VECTOR_TYPE = "struct<dense:array<float>,terms:array<bigint>,weights:array<float>>"
 
@@ -62,17 +63,17 @@ def vectors(text: Column, encoder: Encoder) -> Column:
     if hasattr(encoder, "column"):
         return encoder.column(text)
 
-    @F.pandas_udf(VECTOR_TYPE)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(VECTOR_TYPE)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            dense, sparse = encoder.encode(batch.tolist())
-            yield pd.DataFrame(
-                {
-                    "dense": list(dense.astype(np.float32)),
-                    "terms": [np.fromiter(s.keys(), np.int64, len(s)) for s in sparse],
-                    "weights": [np.fromiter(s.values(), np.float32, len(s)) for s in sparse],
-                }
-            )
+            for part in by_bytes(batch):
+                dense, sparse = encoder.encode(part.to_pylist())
+                columns = (
+                    (list(dense.astype(np.float32)), pa.float32()),
+                    ([np.fromiter(s.keys(), np.int64, len(s)) for s in sparse], pa.int64()),
+                    ([np.fromiter(s.values(), np.float32, len(s)) for s in sparse], pa.float32()),
+                )
+                yield pa.StructArray.from_arrays([pa.array(x, pa.list_(t)) for x, t in columns], ["dense", "terms", "weights"])
 
     return encode(text)
 

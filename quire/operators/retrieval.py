@@ -47,6 +47,9 @@ def payload_filter(
 
 # ---- candidates -------------------------------------------------------------
 
+# what a worker scores at once: points of the dense branch, shared terms of the sparse one
+POINTS, MATCHES = 1024, 1 << 19
+
 
 class Best:
     """The ``n`` best (score, id) pairs per query seen so far in one task."""
@@ -112,6 +115,19 @@ class QueryBlock:
         squares = np.outer((points**2).sum(axis=1), (self.dense**2).sum(axis=1))
         return np.divide(dot, np.sqrt(squares), out=np.zeros_like(dot), where=squares > 0)
 
+    def parts(self, rows: np.ndarray, terms: np.ndarray) -> Iterator[slice]:
+        """Runs of postings of whole points with about ``MATCHES`` shared terms in all, one point at least."""
+        count = np.searchsorted(self.terms, terms, "right") - np.searchsorted(self.terms, terms, "left")
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        ends = np.append(starts[1:], len(rows))
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])[ends]
+        k = 0
+        while k < len(starts):
+            base = total[k - 1] if k else 0
+            last = max(k + 1, int(np.searchsorted(total, base + MATCHES, "right")))
+            yield slice(starts[k], ends[last - 1])
+            k = last
+
     def overlap(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
         """Point, query and dot product of the pairs that share a term, from postings (row, term, weight)."""
         lo = np.searchsorted(self.terms, terms, "left")
@@ -156,10 +172,12 @@ def _score_points(blocks, n: int, digits: int, dense: bool, sparse: bool) -> Cal
             for q, top in zip(queries, best, strict=True):
                 if dense and q.dim:
                     at, matrix = _dense_rows(batch.column("dense"), q.dim)
-                    top["dense"].add(ids[at], np.round(q.cosine(matrix), digits), q.asked)
+                    for i in range(0, len(at), POINTS):
+                        top["dense"].add(ids[at[i:i + POINTS]], np.round(q.cosine(matrix[i:i + POINTS]), digits), q.asked)
                 if sparse:
-                    row, owner, total = q.overlap(rows, terms, weights)
-                    top["sparse"].add_pairs(ids[row], owner, np.round(total, digits))
+                    for part in q.parts(rows, terms):
+                        row, owner, total = q.overlap(rows[part], terms[part], weights[part])
+                        top["sparse"].add_pairs(ids[row], owner, np.round(total, digits))
         for q, top in zip(queries, best, strict=True):
             for branch, found in top.items():
                 sizes = [s.size for s in found.scores]
