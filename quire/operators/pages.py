@@ -139,7 +139,8 @@ def looks_like_index(lines: Column) -> Column:
 
 
 def looks_like_body(lines: Column) -> Column:
-    return F.size(F.filter(inked(lines), lambda l: F.length(l) > 88)) >= 3
+    long = F.filter(lines, lambda l: (F.length(l) > 88) & (F.length(T.strip(l)) > 88))
+    return F.size(long) >= 3
 
 
 # ---- front and back matter --------------------------------------------------

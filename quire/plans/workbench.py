@@ -110,14 +110,14 @@ def _body_page(b: Column, p: Column, source: Column) -> Column:
     )
 
 
-def _page(lines: Column, p: Column, source: Column) -> Column:
+def _page(lines: Column, p: Column, banner: Column) -> Column:
     n = p.cast("string")
     none = F.array().cast("array<string>")
     return F.array_join(
         F.concat(
             F.array(
                 F.concat(F.lit("[PAGE "), n, F.lit("]")),
-                F.concat(F.lit("COLLECTED REPORTS OF "), F.upper(source)),
+                F.concat(F.lit("COLLECTED REPORTS OF "), banner),
             ),
             F.when(
                 p % 2 == 0,
@@ -168,7 +168,10 @@ def _layout() -> tuple[Column, ...]:
         F.transform(c("_body"), lambda b, k: _body_page(b, k + 1 + F.size("_opening"), c("source"))),
         c("_index"),
     )
-    laid = F.array_join(F.transform(pages, lambda ls, k: _page(ls, k + 1, c("source"))), "\n")
+    laid = bind(
+        F.upper(c("source")),
+        lambda banner: F.array_join(F.transform(pages, lambda ls, k: _page(ls, k + 1, banner)), "\n"),
+    )
     glyphs = F.replace(
         F.replace(laid, F.lit("fi"), F.lit(chr(0xFB01))),
         F.lit("tion "), F.lit("tion" + chr(0x2019) + " "),

@@ -1,0 +1,43 @@
+"""What cleaning and cutting do per line: texts are put together once, and lines are trimmed only where it can matter."""
+
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.operators import cleaning as CL
+from quire.operators import sections as S
+
+ODD = ["", " ", " .　", " · . ", "a", " ?!* ", " _ ", "...x", " --\x1c", "\x85½ "]
+
+
+def test_pages_are_joined_once_for_normalizing(spark):
+    docs = spark.range(1).select(
+        F.lit("[PAGE 1]\nﬁne").alias("text"), F.expr("cast(array() as array<struct<lo:int,hi:int>>)").alias("skip_pages"),
+        F.lit(None).cast("int").alias("body_end_page")).repartition(1)
+    cleaned = CL.clean(docs, keep_steps=True).select("_norm")
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == 1
+    assert cleaned.first()["_norm"] == ["[PAGE 1]", "fine"]
+
+
+def test_junk_is_told_by_its_trimmed_line(spark):
+    lines = spark.createDataFrame([(ODD,)], "lines array<string>")
+    expected = lines.select(F.filter("lines", lambda l: ~T.strip(l).rlike(CL.JUNK))).first()[0]
+    assert lines.select(CL.drop_junk(F.col("lines"))).first()[0] == expected
+    assert lines.where("false").select(CL.drop_junk(F.col("lines"))).count() == 0
+
+
+def test_headings_behind_odd_spaces(spark):
+    row = spark.createDataFrame([("  3.4 Field Mapping ", " \x1cII. Methods Used ", "　B. Data Sets", "x 3.4 Field Mapping")],
+                                "book string, paper string, sub string, plain string")
+    c = F.col
+    got = row.select(S.book_heading(c("book")).alias("a"), S.paper_section(c("paper")).alias("b"), S.paper_subsection(c("sub")).alias("c"),
+                     S.book_heading(c("plain")).alias("d")).first()
+    assert (got["a"]["section"], got["a"]["title"]) == ("3.4", "Field Mapping")
+    assert (got["b"]["section"], got["c"]["section"], got["d"]) == ("II", "B", None)
+
+
+def test_folding_of_odd_characters(spark):
+    texts = ["".join(map(chr, T.FOLDS)), "plain", None, "ﬁ­‑x"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(T.normalize(F.col("t"))).collect()]
+    assert got[1:] == ["plain", None, "fi-x"]
+    assert not set(got[0]) & set(map(chr, T.FOLDS))
