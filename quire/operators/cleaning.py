@@ -23,8 +23,6 @@ SCANNED_HEADER = (
     r"|(Chapter_+\p{Nd}+|Appendix_+[A-Z]_+.{0,60}?_+\p{Nd}{1,4})"
     r"|Section_+\p{Nd}+\.\p{Nd}+\..{0,60}?_+\p{Nd}{1,4})$"
 ).replace("_", T.SPACE)
-# how a scanned header starts: tells most lines apart without trimming them
-SCANNED_START = rf"^{T.SPACE}*+(?:\p{{Nd}}|Chapter|Appendix|Section)"
 JUNK = r"^([^\p{L}\p{N}_]{1,3}|[. ·]+)$"
 SENTENCE_STOPS = (".", ":", ";", "!", "?", '"', "'", ")")
 
@@ -98,9 +96,8 @@ def running_headers(lines: Column) -> Column:
     The few candidates are sorted, and one equal to its second predecessor has
     been seen three times -- no counting table, no shuffle.
     """
-    likely = F.filter(lines, lambda l: ~l.rlike(T.SMALL) | l.rlike(SCANNED_START))
     candidates = F.filter(
-        F.transform(likely, T.strip),
+        F.transform(lines, T.strip),
         lambda s: (F.length(s) <= 75)
         & (T.is_upper(s) | s.rlike(SCANNED_HEADER))
         & (T.letters(s) >= 6),
@@ -260,8 +257,7 @@ def fix_hyphenation(text: Column, lexicon: Column) -> Column:
 
 
 def drop_junk(lines: Column) -> Column:
-    # junk has no word character, and most lines start with one
-    return F.filter(lines, lambda l: l.rlike(T.WORD) | ~T.strip(l).rlike(JUNK))
+    return F.filter(lines, lambda l: ~T.strip(l).rlike(JUNK))
 
 
 def reflow(lines: Column) -> Column:
@@ -277,14 +273,11 @@ def reflow(lines: Column) -> Column:
     def facts(l: Column) -> Column:
         return bind(
             T.rstrip(l),
-            lambda s: bind(
-                T.lstrip(s),
-                lambda t: F.struct(
-                    s.alias("s"),
-                    T.stripped_is_prose(t).alias("prose"),
-                    F.substring(s, -1, 1).isin(*SENTENCE_STOPS).alias("stop"),
-                    F.substring(t, 1, 1).alias("first"),
-                ),
+            lambda s: F.struct(
+                s.alias("s"),
+                T.is_prose(s).alias("prose"),
+                F.substring(s, -1, 1).isin(*SENTENCE_STOPS).alias("stop"),
+                F.substring(T.strip(s), 1, 1).alias("first"),
             ),
         )
 
@@ -327,10 +320,9 @@ def reflow(lines: Column) -> Column:
             F.substring(run, at, F.length(run)), f"[{WEAK}{STRONG}]{T.GAP}*", " "
         )
         head = F.substring(run, F.lit(1), F.greatest(at - 1, F.lit(0)))
-        return F.when(at == 0, apart(run)).otherwise(F.concat(apart(head), joined))
-
-    def apart(run: Column) -> Column:
-        return F.replace(run, F.lit(WEAK), F.lit("\n"))
+        return F.when(at == 0, F.translate(run, WEAK, "\n")).otherwise(
+            F.concat(F.translate(head, WEAK, "\n"), joined)
+        )
 
     runs = bind(F.transform(lines, facts), lambda xs: bind(bridged(xs), linked))
     return F.array_join(F.transform(F.split(runs, "\n"), settled), "\n")
@@ -378,9 +370,7 @@ def _steps(settings: Settings) -> tuple[tuple[str, Column], ...]:
     )
     return (
         ("_trim", trim_matter(P.page_array(c("text")), c("skip_pages"), c("body_end_page"))),
-        # a column of its own: normalizing reads it more than once
-        ("_joined", P.join_pages(c("_trim.pages"))),
-        ("_norm", F.split(T.normalize(c("_joined")), "\n")),
+        ("_norm", F.split(T.normalize(P.join_pages(c("_trim.pages"))), "\n")),
         ("_lines", drop_banners(c("_norm"), banner_pattern(settings))),
         ("_pages", P.page_array_of(c("_lines"))),
         ("_swept", strip_furniture(c("_pages"), running_headers(c("_lines")))),

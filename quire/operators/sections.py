@@ -22,11 +22,6 @@ ROMANS = (
     "IX", "X", "XI", "XII", "XIII", "XIV", "XV",
 )
 
-# how headings start: tells most lines apart without trimming them
-BOOK_START = r"^" + T.SPACE + r"*+\p{Nd}{1,2}\."
-PAPER_START = r"^" + T.SPACE + r"*+[IVX]{1,5}\."
-SUBSECTION_START = r"^" + T.SPACE + r"*+[A-Z]\."
-
 HEADING_TYPE = "struct<chapter:int,section:string,title:string>"
 
 
@@ -57,7 +52,7 @@ def book_heading(line: Column, settings: Settings = DEFAULTS) -> Column:
             _heading(chapter, label, F.regexp_replace(title, T.SPACE + "+", " ")),
         )
 
-    return F.when(line.rlike(BOOK_START), bind(T.strip(line), parsed))
+    return bind(T.strip(line), parsed)
 
 
 def paper_section(line: Column) -> Column:
@@ -70,7 +65,7 @@ def paper_section(line: Column) -> Column:
         good = (number > 0) & (T.letters(title) >= 3) & ~title.rlike(TRAILING_FOLIO)
         return F.when(t.rlike(PAPER_SECTION) & good, _heading(number, numeral, title))
 
-    return F.when(line.rlike(PAPER_START), bind(T.strip(line), parsed))
+    return bind(T.strip(line), parsed)
 
 
 def paper_subsection(line: Column) -> Column:
@@ -84,13 +79,13 @@ def paper_subsection(line: Column) -> Column:
             _heading(F.lit(None), F.regexp_extract(t, PAPER_SUBSECTION, 1), title),
         )
 
-    return F.when(line.rlike(SUBSECTION_START), bind(T.strip(line), parsed))
+    return bind(T.strip(line), parsed)
 
 
-def body_lines(pages: Column) -> Column:
+def body_lines(text: Column) -> Column:
     """``array<struct<line, page>>`` without markers and comment lines."""
     tagged = F.transform(
-        pages,
+        P.page_array(text),
         lambda p: F.transform(
             p["lines"], lambda l: F.struct(T.rstrip(l).alias("line"), p["page"].alias("page"))
         ),
@@ -134,7 +129,7 @@ def parse_sections(text: Column, kind: Column, settings: Settings = DEFAULTS) ->
 
     def blocks(body: Column, fallback: Column) -> Column:
         pieces = F.filter(
-            cut(body, lambda x: x["line"] == ""), lambda p: F.size(p["body"]) > 0
+            cut(body, lambda x: T.is_blank(x["line"])), lambda p: F.size(p["body"]) > 0
         )
         return F.transform(pieces, lambda p: paragraph(p, fallback))
 
@@ -196,10 +191,10 @@ def parse_sections(text: Column, kind: Column, settings: Settings = DEFAULTS) ->
         )
 
     return bind(
-        P.page_array(text),
-        lambda pages: bind(
-            body_lines(pages),
+        body_lines(text),
+        lambda lines: bind(
             # page numbers only change at markers, so the last marker is the end's page
-            lambda lines: bind(F.element_at(pages, -1)["page"], lambda last: assemble(lines, last)),
+            F.element_at(F.transform(P.page_array(text), lambda p: p["page"]), -1),
+            lambda last: assemble(lines, last),
         ),
     )
