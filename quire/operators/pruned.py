@@ -32,12 +32,15 @@ from quire.operators.retrieval import Best, QueryBlock
 c = F.col
 DIGITS = 6
 BLOCK = 4096  # ids to a cell of postings
+ENTRIES = 1 << 21  # entries of a cell that one task holds
+QUERIES = 4096  # queries that a task scores a cell of postings for
 GROUP = 20_000  # points of a cell that one task scores
 HIT = "qid bigint, id bigint, score double"
+LISTS = "term bigint, cell bigint, least double, most double, size bigint, entries array<struct<id:bigint,weight:double>>"
 
 
 class Postings(NamedTuple):
-    """``lists``: term, cell, least, most, size, entries (id, weight), sorted by term."""
+    """``lists``: term, cell (its smallest id), least, most, size, entries (id, weight), sorted by term within a cell."""
 
     lists: DataFrame
 
@@ -90,19 +93,84 @@ def entries(vectors: DataFrame, *keys: str) -> DataFrame:
     return each.where("term is not null and weight is not null")
 
 
+def inverted(ids: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    """The lists of a cell, sorted by term, from its entries in the order of their ids."""
+    order = np.argsort(terms, kind="stable")
+    ids, terms, weights = ids[order], terms[order], weights[order]
+    # a term that a point repeats is one entry
+    fresh = np.flatnonzero(np.append(True, (np.diff(terms) != 0) | (np.diff(ids) != 0)))
+    ids, terms, weights = ids[fresh], terms[fresh], np.add.reduceat(weights, fresh)
+    starts = np.flatnonzero(np.append(True, np.diff(terms) != 0))
+    sizes = np.diff(np.append(starts, len(terms)))
+    pairs = pa.StructArray.from_arrays([pa.array(ids), pa.array(weights)], ["id", "weight"])
+    columns = [
+        pa.array(terms[starts]), pa.array(np.full(len(starts), ids.min())), pa.array(np.minimum.reduceat(weights, starts)),
+        pa.array(np.maximum.reduceat(weights, starts)), pa.array(sizes.astype(np.int64)),
+        pa.ListArray.from_arrays(pa.array(np.append(starts, len(terms)).astype(np.int32)), pairs),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["term", "cell", "least", "most", "size", "entries"])
+
+
+def flat_entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, term and weight of the entries of a batch of vectors, without those that lack a term or a weight."""
+    lists = batch.column("terms")
+    rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    terms, weights = lists.flatten(), batch.column("weights").flatten()
+    given = terms.is_valid().to_numpy(zero_copy_only=False) & weights.is_valid().to_numpy(zero_copy_only=False)
+    terms, weights = terms.fill_null(0).to_numpy(), weights.fill_null(0).to_numpy().astype(np.float64)
+    return rows[given], terms[given], weights[given]
+
+
 def postings(points: DataFrame, cell: Column | None = None) -> Postings:
     """The index of the sparse vectors of ``points`` (``id, terms, weights``; ids are unique).
 
-    ``cell`` says which cell an id lies in, by default ``BLOCK`` consecutive
-    ids each; a term that every point has is split by it.
+    ``cell`` says which points lie together, by default ``BLOCK`` consecutive
+    ids each. Vectors are shuffled once, whole, and a task inverts them cell by
+    cell; where a cell has more than ``ENTRIES`` entries it becomes several.
     """
+    most = ENTRIES
     cell = F.expr(f"id div {BLOCK}") if cell is None else cell
-    # a term that a point repeats is one entry
-    one = entries(points.withColumn("cell", cell.cast("long")), "id", "cell").groupBy("cell", "term", "id").agg(F.sum("weight").alias("weight"))
-    lists = one.groupBy("term", "cell").agg(
-        F.min("weight").alias("least"), F.max("weight").alias("most"), F.count("*").alias("size"),
-        F.collect_list(F.struct("id", "weight")).alias("entries"))
-    return Postings(stored(lists.repartitionByRange("term", "cell").sortWithinPartitions("term", "cell"), "postings"))
+    together = F.least(F.size("terms"), F.size("weights"))
+    even = lambda x: F.when(F.size(x) == together, x).otherwise(F.slice(x, F.lit(1), together))
+    weight = "array<float>" if dict(points.dtypes)["weights"] == "array<float>" else "array<double>"
+    vectors = points.select(
+        c("id").cast("long").alias("id"), cell.cast("long").alias("cell"),
+        c("terms").cast("array<bigint>").alias("terms"), c("weights").cast(weight).alias("weights"),
+    ).where("id is not null and cell is not null and terms is not null and weights is not null")
+    vectors = vectors.select("id", "cell", even(c("terms")).alias("terms"), even(c("weights")).alias("weights"))
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        count, last = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cells = b.column("cell").to_numpy()
+            ids = b.column("id").to_numpy()
+            rows, terms, weights = flat_entries(b)
+            ends = np.searchsorted(rows, np.arange(b.num_rows), "right")  # of the entries of each row
+            borders = np.append(np.flatnonzero(np.diff(cells)) + 1, b.num_rows)
+            row = 0
+            while row < b.num_rows:
+                if cells[row] != last and held:
+                    yield inverted(*map(np.concatenate, zip(*held, strict=True)))
+                    held, count = [], 0
+                last = cells[row]
+                base = ends[row - 1] if row else 0
+                # as many rows of this cell as there is room for, one at least if nothing is held
+                stop = min(int(np.searchsorted(ends, base + most - count, "right")), int(borders[np.searchsorted(borders, row, "right")]))
+                stop = max(stop, row if held else row + 1)
+                if stop == row:
+                    last = None  # full: the rest is a cell of its own
+                elif ends[stop - 1] > base:
+                    part = slice(base, ends[stop - 1])
+                    held.append((ids[rows[part]], terms[part], weights[part]))
+                    count += ends[stop - 1] - base
+                row = stop
+        if held:
+            yield inverted(*map(np.concatenate, zip(*held, strict=True)))
+
+    return Postings(stored(vectors.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(invert, LISTS), "postings"))
 
 
 def sparse_search(index: Postings, queries: DataFrame, n: int, keep: DataFrame | None = None, digits: int = DIGITS) -> tuple[DataFrame, DataFrame]:
@@ -110,20 +178,53 @@ def sparse_search(index: Postings, queries: DataFrame, n: int, keep: DataFrame |
 
     ``queries`` has ``qid, terms, weights``; ties go to the smaller id. With
     ``keep`` (``id``) only those points count. Weights may be negative.
+
+    A task scores a cell for up to about ``QUERIES`` queries and hands on the
+    ``n`` best of each, so what is shuffled are the lists and these.
     """
-    asked = entries(queries, "qid").groupBy("qid", "term").agg(F.sum("weight").alias("w"))
+    asked = entries(queries, c("qid").cast("long").alias("qid")).groupBy("qid", "term").agg(F.sum("weight").alias("w"))
     asked = stored(asked, "asked")
+    vectors = asked.groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
+    shards = max(1, -(-vectors.count() // QUERIES))
     limits = index.lists.select("term", "cell", "least", "most", "size").join(small(asked), "term")
     most = F.greatest(c("w") * c("most"), c("w") * c("least"), F.lit(0.0))
     bounds = limits.groupBy("qid", "cell").agg(F.sum(most).alias("bound"), F.max("size").alias("size")).where("bound > 0")
 
+    def run(lists: pa.Table, wanted: pa.Table) -> pa.Table:
+        best = Best(len(wanted), n)
+        if len(lists):
+            lists = lists.sort_by("term")
+            column = lists.column("entries").combine_chunks()
+            known, starts, pairs = lists.column("term").to_numpy(), column.offsets.to_numpy(), column.values
+            ids, at = np.unique(pairs.field("id").to_numpy(), return_inverse=True)
+            values = pairs.field("weight").to_numpy()
+            for q, (terms, weights) in enumerate(zip(wanted.column("terms"), wanted.column("weights"), strict=True)):
+                terms = terms.values.to_numpy()
+                lo = starts[np.searchsorted(known, terms, "left")]
+                count = starts[np.searchsorted(known, terms, "right")] - lo
+                each = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
+                total = np.bincount(at[each], values[each] * np.repeat(weights.values.to_numpy(), count), minlength=len(ids))
+                score = np.round(total, digits)
+                good = np.flatnonzero(score > 0)
+                if len(good) > n:
+                    good = good[score[good] >= np.partition(score[good], -n)[-n]]
+                best.add_pairs(ids[good], np.full(len(good), q), score[good])
+        qids = np.repeat(wanted.column("qid").to_numpy(), np.array([x.size for x in best.scores], np.int64))
+        found = [np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, best.ids), (np.float64, best.scores))]
+        return pa.table([pa.array(x) for x in (qids, *found)], names=["qid", "id", "score"])
+
     def score(cells: DataFrame) -> DataFrame:
-        wanted = cells.join(small(asked), "qid")
-        found = index.lists.select("term", "cell", "entries").join(small(wanted), ["term", "cell"]).select(
-            "qid", "w", F.explode("entries").alias("e")).select("qid", c("e.id").alias("id"), (c("w") * c("e.weight")).alias("part"))
+        lists = index.lists.select("term", "cell", "entries").join(small(asked.select("term").distinct()), "term", "left_semi").join(
+            small(cells.select("cell").distinct()), "cell", "left_semi")
         if keep is not None:
-            found = found.join(small(keep.select("id").distinct()), "id", "left_semi")
-        return found.groupBy("qid", "id").agg(F.round(F.sum("part"), digits).alias("score")).where("score > 0")
+            kept = small(keep.select("id").distinct())
+            lists = lists.select("term", "cell", F.explode("entries").alias("e")).withColumn("id", c("e.id")).join(
+                kept, "id", "left_semi").groupBy("term", "cell").agg(F.collect_list("e").alias("entries"))
+        lists = lists.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        wanted = cells.join(small(vectors), "qid").withColumn("shard", F.pmod(F.xxhash64("qid"), F.lit(shards)).cast("int"))
+        left = lists.select("cell", "shard", "term", "entries").groupBy("cell", "shard")
+        right = wanted.select("cell", "shard", "qid", "terms", "weights").groupBy("cell", "shard")
+        return left.cogroup(right).applyInArrow(run, HIT)
 
     return settle(bounds, score, n, digits)
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -65,6 +66,49 @@ def test_filtered_and_odd_sparse_vectors(spark, monkeypatch):
     assert rows(P.sparse_search(P.postings(odd.limit(0)), asked, 3)[0]) == []
 
 
+def test_postings_shuffle_vectors_and_searches_their_lists(spark, monkeypatch):
+    """Neither the index nor a search takes a row per entry, or per pair of a query and a point, through a shuffle."""
+    plans = {}
+    keep = P.stored
+
+    def seen(df, name="table"):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(P, "stored", seen)
+    points, queries = sparse_points(spark, 5, 300, 40), sparse_points(spark, 6, 5, 40).withColumnRenamed("id", "qid")
+    hits, _ = P.sparse_search(P.postings(points), queries, 3)
+    assert rows(hits) == full(points, queries, 3, dense=False)
+    assert "Generate" not in plans["postings"] and "Aggregate" not in plans["postings"]
+    for plan in (plans["first"], hits._jdf.queryExecution().optimizedPlan().toString()):
+        assert not re.search(r"Aggregate \[qid#\d+L?, id#", plan)
+
+
+@pytest.mark.parametrize("entries,queries", [(1, 4096), (60, 3)])
+def test_cells_of_many_entries_and_many_queries_are_cut(spark, monkeypatch, entries, queries):
+    monkeypatch.setattr(P, "ENTRIES", entries)
+    monkeypatch.setattr(P, "QUERIES", queries)
+    points, asked = sparse_points(spark, 7, 500, 60, True), sparse_points(spark, 8, 20, 60, True).withColumnRenamed("id", "qid")
+    index = P.postings(points)
+    held = index.lists.select("cell", F.explode("entries").alias("e")).groupBy("cell").agg(
+        F.count("*").alias("n"), F.countDistinct("e.id").alias("ids"), F.min("e.id").alias("least"))
+    for r in held.collect():
+        assert (r["n"] <= entries or r["ids"] == 1) and r["least"] == r["cell"]
+    assert index.lists.agg(F.sum("size")).first()[0] == points.select(F.sum(F.size("terms"))).first()[0]
+    assert rows(P.sparse_search(index, asked, 6)[0]) == full(points, asked, 6, dense=False)
+
+
+def test_vectors_of_uneven_arrays(spark):
+    """A term without a weight, a weight without a term and nulls inside do not shift the others; large term ids stay whole."""
+    big = (1 << 62) + 1
+    odd = [(1, [5, big, 7], [1.0, 2.0], "a"), (2, [big], [3.0, 9.0], "a"), (3, [None, big], [8.0, 4.0], "a"), (4, [5, big, 5], [1.0, None, 0.5], "a"), (5, [], [1.0], "a")]
+    points = spark.createDataFrame(odd, SPARSE).coalesce(1)
+    asked = spark.createDataFrame([(1, [big], [1.0]), (2, [5], [2.0]), (3, [big - 1, 7], [1.0, 1.0])], "qid bigint, terms array<bigint>, weights array<double>")
+    index = P.postings(points)
+    assert rows(P.sparse_search(index, asked, 5)[0]) == [(1, 1, 3, 4.0), (1, 2, 2, 3.0), (1, 3, 1, 2.0), (2, 1, 4, 3.0), (2, 2, 1, 2.0)]
+    assert rows(P.sparse_search(index, asked, 5, keep=spark.range(2, 4))[0]) == [(1, 1, 3, 4.0), (1, 2, 2, 3.0)]
+
+
 def clouds(spark, seed, count, dim, spread):
     g = np.random.default_rng(seed)
     centres = g.normal(size=(12, dim))
